@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, quality_rules, sentencepiece, substring_dedup, token_counts, warc
+from . import decontamination, html_text, quality_classifier, quality_rules, sentencepiece, substring_dedup, token_counts, warc
 from ._shared import table
 
 
@@ -36,6 +36,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontamination, op6_quality_rules, op7_token_counts, op8_warc, op10_html_text)
+    f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op6_quality_rules, op7_token_counts, op8_warc, op10_html_text)
 }
 
 SQL = {
