@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knnscore.llm import decontamination, quality_rules, sentencepiece, substring_dedup
+from knnscore.llm import decontamination, near_dedup, quality_rules, sentencepiece, substring_dedup
 from knnscore.llm._shared import stored, table
 from knnscore.llm.queries import tokenizer_file
 
@@ -24,6 +24,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class."""
+    return near_dedup.keep_one(docs)
+
+
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document or line has; documents of which nothing is left go."""
     cleaned = substring_dedup.deduplicate(docs, carry=("lang", "source"))
@@ -43,6 +48,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
+    ("MinHash near-dedup", near_duplicates),
     ("substring dedup", repeated_lines),
     ("benchmark decontamination", leaks),
     ("SentencePiece encoding and decoding", encoded),

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, quality_classifier, quality_rules, sentencepiece, substring_dedup, token_counts, warc
+from . import decontamination, html_text, near_dedup, quality_classifier, quality_rules, sentencepiece, substring_dedup, token_counts, warc
 from ._shared import table
 
 
@@ -41,6 +41,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op6_quality_rules, op7_token_counts, op8_warc, op10_html_text)
+    f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_near_dedup, op6_quality_rules, op7_token_counts, op8_warc, op10_html_text)
 }
 
 SQL = {
