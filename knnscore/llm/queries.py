@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, near_dedup, quality_classifier, quality_rules, sentencepiece, substring_dedup, token_counts, warc
+from . import byte_dedup, decontamination, html_text, near_dedup, quality_classifier, quality_rules, sentencepiece, substring_dedup, token_counts, warc
 from ._shared import table
 
 
@@ -58,12 +58,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup.cut(table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_near_dedup, op6_quality_rules, op7_token_counts, op8_warc, op10_html_text)
+    f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_near_dedup, op6_quality_rules, op7_token_counts, op8_warc, op9_byte_dedup, op10_html_text)
 }
 
 SQL = {
