@@ -8,8 +8,9 @@ that it anchors in one place; runs are named by two 64-bit hashes (anchor, whole
 
 1. Each task finds its runs. Of equal runs within a task's texts, those of a larger document are settled at
    once. The others go, packed, to buckets of anchors: no anchor has more than a task's number of rows there.
-2. A bucket settles runs equal to one of a smaller document, and drops anchors of one document alone. What is
-   left are runs of different content that share an anchor: some of their strings may be equal.
+2. A bucket settles runs equal to one of a smaller document. What is left are runs of different content that
+   share an anchor, of whose strings some may be equal. Equal strings share, next to the anchor's 16 bytes, 17 on
+   its left or on its right; runs that share neither 16 with another document are dropped.
 3. The bytes of those are fetched and sorted, bucket by bucket, by the difference-cover algorithm (sampled
    triples, names, recursion, merge) as far as 50 bytes; adjacent suffixes are compared, and in each group of
    equal strings those of larger documents are settled.
@@ -39,30 +40,37 @@ LENGTH, GRAM = 50, 16
 STRETCH = LENGTH - GRAM + 1  # grams in a string
 BASE = np.uint64(0xD6E8FEB86659FD93)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+CACHED = 1 << 15  # positions handled at once
 HELD_RUNS = 1_000_000
-BLOCK = 4_000_000  # bytes sorted at once
+BLOCK = 1_000_000  # bytes sorted at once, or those of one anchor
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-RUN = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
+RUN = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "u1"), ("left", "<u2"), ("right", "<u2")])
 
 
 def grams(data: bytes) -> np.ndarray:
     """A hash of the 16 bytes from each position."""
     n = len(data) - GRAM + 1
-    words = np.ndarray((n + 8,), "<u8", data, strides=(1,)).copy()
-    return mix(words[:n] ^ mix(words[8:] + np.uint64(1)))
+    words, out = np.ndarray((n + 8,), "<u8", data, strides=(1,)), np.empty(n, np.uint64)
+    for a in range(0, n, CACHED):
+        b = min(n, a + CACHED)
+        out[a:b] = mix(words[a:b] ^ mix(words[a + 8 : b + 8] + np.uint64(1)))
+    return out
 
 
-def anchors(values: np.ndarray) -> np.ndarray:
+def anchors(hashes: np.ndarray) -> np.ndarray:
     """For each string the position of its leftmost gram of least hash."""
-    at = np.arange(len(values), dtype=np.int32)
-    reach = 1
-    while reach < STRETCH:
-        step = min(reach, STRETCH - reach)
-        n = len(values) - step
-        left = values[:n] <= values[step:]
-        values, at = np.where(left, values[:n], values[step:]), np.where(left, at[:n], at[step:])
-        reach += step
-    return at
+    out = np.empty(max(0, len(hashes) - STRETCH + 1), np.int32)
+    for a in range(0, len(out), CACHED):
+        values = hashes[a : a + CACHED + STRETCH - 1]
+        at = np.arange(a, a + len(values), dtype=np.int32)
+        reach = 1
+        while reach < STRETCH:
+            step = min(reach, STRETCH - reach)
+            left = values[:-step] <= values[step:]
+            values, at = np.where(left, values[:-step], values[step:]), np.where(left, at[:-step], at[step:])
+            reach += step
+        out[a : a + len(at)] = at
+    return out
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -87,7 +95,23 @@ def runs(data: bytes, bounds: np.ndarray, ids: np.ndarray) -> np.ndarray:
     content = mix((sums[start + n - 1 + STRETCH] - sums[start]) * powers(BASE_INVERSE, len(values))[start] + (at[start] - start).astype(np.uint64) * np.uint64(64) + n.astype(np.uint64))
     out = np.empty(len(start), RUN)
     text = owner[start]
-    out["anchor"], out["content"], out["doc"], out["start"], out["n"] = values[at[start]], content, ids[text], start - bounds[text], n
+    place = at[start]
+    out["anchor"], out["content"], out["doc"], out["start"], out["n"] = values[place], content, ids[text], start - bounds[text], n
+    out["left"] = np.where(place - GRAM >= bounds[text], values[np.maximum(place - GRAM, 0)] % np.uint64(65535) + np.uint64(1), 0)
+    after = np.minimum(place + GRAM, len(values) - 1)
+    out["right"] = np.where(place + 2 * GRAM <= bounds[text + 1], values[after] % np.uint64(65535) + np.uint64(1), 0)
+    return out
+
+
+def shared(found: np.ndarray, side: str) -> np.ndarray:
+    """Which runs have the anchor and the bytes on that side in common with one of another document; 0: none there."""
+    order = np.lexsort((found[side], found["anchor"]))
+    anchor, key, doc = (found[k][order] for k in ("anchor", side, "doc"))
+    out = np.zeros(len(found), bool)
+    if len(found):
+        first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])])
+        several = (np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)) & (key[first] > 0)
+        out[order] = np.repeat(several, np.diff(np.r_[first, len(found)]))
     return out
 
 
@@ -185,11 +209,7 @@ def settle_buckets(messages: DataFrame) -> DataFrame:
         settled = table.filter(pc.is_null(table.column("data")))
         found, _, larger = by_content(unpacked(table.column("data").drop_null().to_pylist()))
         gone, left = found[larger], found[~larger]
-        # anchors of more than one document
-        new = np.flatnonzero(np.r_[True, left["anchor"][1:] != left["anchor"][:-1]]) if len(left) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[new, len(left)])
-        several = np.maximum.reduceat(left["doc"], new) != np.minimum.reduceat(left["doc"], new) if len(left) else np.zeros(0, bool)
-        left = left[np.repeat(several, sizes)]
+        left = left[shared(left, "left") | shared(left, "right")]
         doc, start, end = span_batch(gone["doc"], gone["start"], gone["n"])
         doc, start, end = (np.r_[settled.column(k).to_numpy(), x] for k, x in (("doc", doc), ("start", start), ("end", end)))
         columns = [
