@@ -27,7 +27,7 @@ from ._shared import pieces
 from .shingles import WORD, WordHashes, by_text, shingle_hashes
 
 SIZE, CONTAINMENT = 5, 0.8
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 4_000_000
 FOUND = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
 
 
