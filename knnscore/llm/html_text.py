@@ -34,10 +34,11 @@ DROPPED = frozenset(
     "dialog menu datalist math map".split()
 )
 PART = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footers?|gdpr|headers?|masthead|menus?|modal|nav|navbar|"
-    r"navigation|newsletter|notices?|pagination|pager|popup|promos?|promoted|related|respond|share|sharing|sidebars?|skip|social|sponsor(?:ed|s)?|subscribe|toolbar|widgets?)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|alerts?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footers?|gdpr|headers?|masthead|menus?|modal|nav|navbar|"
+    r"navigation|newsletter|notices?|pagination|pager|popup|promos?|promoted|recommended|related|respond|share|sharing|sidebars?|skip|social|sponsor(?:ed|s)?|subscribe|toolbar|widgets?)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())  # may be named after a header and are none
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: Opening one of these closes an open one of the same list, up to the nearest list or table.
 SIBLINGS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -104,9 +105,13 @@ class _Lines(HTMLParser):
                 return
         elif tag in VOID:
             return
+        if tag in ("article", "main") and self.dropped:  # an unclosed menu doesn't take the article
+            depth = next((d for d, x in enumerate(self.open) if x[2]), 0)
+            if self.open[depth][0] in ("nav", "header"):
+                self.pop_to(depth)
         named = tag not in ("html", "body", "article", "main") or self.dropped > 0
         drop = tag in DROPPED
-        if not drop:
+        if not drop and tag not in HEADINGS:
             for k, v in attrs:
                 if v and (k == "class" or k == "id"):
                     drop = bool(PART.search(v)) and (named or "comment" in v.lower())
