@@ -24,7 +24,7 @@ from ._shared import pieces
 #: Fixed value: the pattern of byte-level pre-tokenisation, public with its vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 COUNTED = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-KEPT_PRETOKENS = 200_000
+KEPT_PRETOKENS, LONG = 200_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -102,7 +102,11 @@ class Counter:
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]
             known.update(zip(part, self.merges.count([t.encode() for t in part]).tolist(), strict=True))
-        return [n + sum(map(known.__getitem__, tokens)) for n, tokens in zip(totals, split, strict=True)]
+        counts = [n + sum(map(known.__getitem__, tokens)) for n, tokens in zip(totals, split, strict=True)]
+        for token in fresh:
+            if len(token) > LONG:  # not worth their memory
+                del known[token]
+        return counts
 
 
 def count_tokens(docs: DataFrame, definition: str, limit: int = 512) -> DataFrame:
