@@ -19,11 +19,13 @@ itself into spaces; repeated rows give repeated results; other columns are ignor
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
-from os.path import commonprefix
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from ._shared import pieces
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: kinds of pieces in model files
 UNIGRAM, BPE = 1, 2
-KEPT_WORDS, KEPT_PAIRS = 300_000, 500_000
+KEPT_WORDS, KEPT_PAIRS, LONG = 500_000, 500_000, 64
 INFINITY = float("inf")
 END = (-INFINITY, "", "")
 ENCODED = "doc_id long, n_chars long, n_pieces long, ids array<int>, round_trip boolean"
@@ -92,6 +94,9 @@ class Transducer:
         self.bytes = {int(t[1:-1], 16): i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k == BYTE}
         self.out = [bytes([int(t[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else t.replace(MARK, " ").encode() for t, k in zip(self.texts, self.kinds, strict=True)]
         self.longest = max(map(len, self.ids), default=1)
+        self.tails: dict[str, int] = {}  # of the last two characters of pieces: the longest such piece
+        for t in self.ids:
+            self.tails[t[-2:]] = max(len(t), self.tails.get(t[-2:], 0))
         self.unknown_weight = 10 - min(self.score.values(), default=0)
         by_word = not any(re.search(f"[^{MARK}]{MARK}", t) for t in self.ids)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if by_word else "(?s).+")
@@ -145,9 +150,9 @@ class Transducer:
         """The labels along the one path of weight 0 of a byte-pair model: each position is reached by one arc. arc: holds those of the first ``done`` positions."""
         del arc[done + 1 :]
         arc += [""] * (len(word) - done)
-        derived, pairs, score, longest = self.derived, self.pairs, self.score, self.longest
+        derived, pairs, score, tails = self.derived, self.pairs, self.score, self.tails
         for end in range(done + 1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(max(0, end - tails.get(word[max(0, end - 2) : end], 1)), end):
                 label = word[start:end]
                 if label in score:
                     if (derived[label] if label in derived else self.derive(label)) is None:
@@ -169,9 +174,11 @@ class Transducer:
     def labels(arc: list[str]) -> list[str]:
         path, end = [], len(arc) - 1
         while end:
-            path.append(arc[end])
-            end -= len(arc[end])
-        return path[::-1]
+            label = arc[end]
+            path.append(label)
+            end -= len(label)
+        path.reverse()
+        return path
 
     def shortest_path(self, word: str) -> list[str]:
         """The arcs' input labels along the path of least weight."""
@@ -191,7 +198,10 @@ class Transducer:
 
     def emit(self, path: list[str]) -> tuple[int, ...]:
         """The output labels of a path: pieces, the bytes of other characters, or one unknown piece for a run of them."""
-        out: list[int] = []
+        try:
+            return tuple([self.ids[label] for label in path])
+        except KeyError:
+            out: list[int] = []
         for label in path:
             if label in self.ids:
                 out.append(self.ids[label])
@@ -207,29 +217,53 @@ class Transducer:
             self.known.clear()
         split = [self.words.findall(self.normalise(t or "")) for t in texts]
         arc, last = [""], ""
-        for word in sorted(set(chain.from_iterable(split)) - self.known.keys()):
+        fresh = sorted(set(chain.from_iterable(split)) - self.known.keys())
+        for word in fresh:
             if self.type == BPE:
-                done = len(commonprefix((last, word)))
+                done, most = 0, min(len(last), len(word))
+                while done < most and last[done] == word[done]:
+                    done += 1
                 self.known[word] = self.emit(self.only_path(word, arc, done))
                 last = word
             else:
                 self.known[word] = self.emit(self.shortest_path(word))
-        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
+        paths = [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
+        for word in fresh:
+            if len(word) > LONG:  # not worth their memory
+                del self.known[word]
+        return paths
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode(errors="replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Without the search for reference cycles: there are none, and each one would visit all words kept."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
+@lru_cache(maxsize=1)
+def compiled(model: bytes) -> Transducer:
+    """The transducer of a model; a worker that runs several tasks keeps it with the words it has seen."""
+    return Transducer(model)
+
+
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """``ENCODED`` rows of docs (doc_id, text). model: the model file's bytes, read by the driver; their size doesn't grow with the data."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(sent.value)
+        machine = compiled(sent.value)
         for batch in pieces(batches, "text"):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            paths = machine.encode(texts)
+            with no_cycles():
+                paths = machine.encode(texts)
             same = [machine.decode(p) == machine.normalise(x).replace(MARK, " ").removeprefix(" " if machine.prefix else "") for p, x in zip(paths, texts, strict=True)]
             sizes = np.array(list(map(len, paths)), np.int64)
             flat = np.fromiter(chain.from_iterable(paths), np.int32, sizes.sum())
@@ -244,7 +278,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(sent.value)
+        machine = compiled(sent.value)
         for batch in batches:
             texts = [machine.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
