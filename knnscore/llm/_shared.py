@@ -48,3 +48,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_0
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def dealt_by(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """``df`` in as many partitions as ``rows`` need at ``each`` a task (eight at least), where it has more: small tables in rounds don't pay for a task per shuffle partition."""
+    return df.coalesce(max(8, -(-rows // each)))
