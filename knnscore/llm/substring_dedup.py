@@ -52,16 +52,16 @@ def unit_digests(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 
 def seen_before(units: DataFrame) -> DataFrame:
-    """doc_id, seen: for each document the digests that a smaller document id has."""
+    """doc_id, _seen: for each document the digests that a smaller document id has."""
     firsts = units.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     later = units.join(firsts.select("digest", "first"), "digest").where("doc_id > first")
-    return later.groupBy("doc_id").agg(F.collect_set("digest").alias("seen"))
+    return later.groupBy("doc_id").agg(F.collect_set("digest").alias("_seen"))
 
 
 def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """``CLEANED`` rows, one per row of docs (doc_id, text), and as they are the columns named in carry."""
     seen = seen_before(unit_digests(docs, least_words))
-    joined = docs.select("doc_id", "text", *carry).join(seen, "doc_id", "left").select("doc_id", "text", "seen", *carry)
+    joined = docs.select("doc_id", "text", *carry).join(seen, "doc_id", "left").select("doc_id", "text", "_seen", *carry)
     schema = T.StructType.fromDDL(CLEANED)
     for c in carry:
         schema.add(docs.schema[c])
@@ -70,7 +70,7 @@ def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS, carry: tuple[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             rows = []
-            for text, seen in zip(batch.column("text").to_pylist(), batch.column("seen").to_pylist(), strict=True):
+            for text, seen in zip(batch.column("text").to_pylist(), batch.column("_seen").to_pylist(), strict=True):
                 if text is None:
                     rows.append((0, 0, 0, [], None))
                     continue
