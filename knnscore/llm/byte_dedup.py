@@ -13,7 +13,9 @@ that it anchors in one place; runs are named by two 64-bit hashes (anchor, whole
    its left or on its right; runs that share neither 16 with another document are dropped.
 3. The bytes of those are fetched and sorted, bucket by bucket, by the difference-cover algorithm (sampled
    triples, names, recursion, merge) as far as 50 bytes; adjacent suffixes are compared, and in each group of
-   equal strings those of larger documents are settled.
+   equal strings those of larger documents are settled. Anchors with more than ``HOT`` runs left would meet in one
+   task however many there are: their runs are taken apart into strings, of equal strings in a task all but the
+   least document's are settled at once, and the others are dealt by the whole string, then sorted likewise.
 4. Settled runs meet their document again, which is cut.
 
 Defined results: null texts count as empty; texts under 50 bytes stay whole; rows of one id are one document
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,7 @@ BASE = np.uint64(0xD6E8FEB86659FD93)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 CACHED = 1 << 15  # positions handled at once
 HELD_RUNS = 1_000_000
+HOT = 500  # runs of one anchor; more are dealt string by string
 BLOCK = 1_000_000  # bytes sorted at once, or those of one anchor
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 RUN = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "u1"), ("left", "<u2"), ("right", "<u2")])
@@ -210,6 +214,9 @@ def settle_buckets(messages: DataFrame) -> DataFrame:
         found, _, larger = by_content(unpacked(table.column("data").drop_null().to_pylist()))
         gone, left = found[larger], found[~larger]
         left = left[shared(left, "left") | shared(left, "right")]
+        first = np.flatnonzero(np.r_[True, left["anchor"][1:] != left["anchor"][:-1]]) if len(left) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[first, len(left)])
+        hot = np.repeat(sizes > HOT, sizes)
         doc, start, end = span_batch(gone["doc"], gone["start"], gone["n"])
         doc, start, end = (np.r_[settled.column(k).to_numpy(), x] for k, x in (("doc", doc), ("start", start), ("end", end)))
         columns = [
@@ -217,29 +224,45 @@ def settle_buckets(messages: DataFrame) -> DataFrame:
             pa.array(np.r_[doc, left["doc"]]),
             pa.array(np.r_[start, left["start"].astype(np.int64)]),
             pa.array(np.r_[end, left["start"].astype(np.int64) + left["n"]]),
+            pa.array(np.r_[np.zeros(len(doc), bool), hot]),
         ]
-        return pa.Table.from_arrays(columns, names=["anchor", "doc", "start", "end"])
+        return pa.Table.from_arrays(columns, names=["anchor", "doc", "start", "end", "hot"])
 
-    return messages.groupBy("bucket").applyInArrow(settle, "anchor long, doc long, start long, end long")
+    return messages.groupBy("bucket").applyInArrow(settle, "anchor long, doc long, start long, end long, hot boolean")
+
+
+def apart(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, data: list[bytes]) -> tuple[list, ...]:
+    """Runs as single strings, dealt by the string: of equal ones those of the least document, the others as settled spans (no data)."""
+    least: dict[bytes, int] = {}
+    strings = [(run[k : k + LENGTH], d, s + k) for d, s, run in zip(doc.tolist(), start.tolist(), data, strict=True) for k in range(len(run) - LENGTH + 1)]
+    for string, d, _ in strings:
+        least[string] = min(d, least.get(string, d))
+    left = [(xxhash.xxh64_intdigest(x) - (1 << 63), d, s, x) for x, d, s in strings if least[x] == d]
+    gone = [(d, s) for x, d, s in strings if least[x] < d]
+    spans = span_batch(*(np.array(x, np.int64) for x in zip(*gone, strict=True)), np.ones(len(gone), np.int64)) if gone else ()
+    left += [(0, d, s, None, e - s) for d, s, e in zip(*(x.tolist() for x in spans), strict=True)]
+    return [x[0] for x in left], [x[1] for x in left], [x[2] for x in left], [1 if x[3] else x[4] for x in left], [x[3] for x in left]
 
 
 def fetch(docs: DataFrame, unsettled: DataFrame) -> DataFrame:
-    """anchor, doc, start, n, bytes of each unsettled run."""
-    by_doc = unsettled.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "end")).alias("runs"))
+    """anchor, doc, start, n, data (bytes) of each unsettled run; data null: a settled span of n bytes."""
+    by_doc = unsettled.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "end", "hot")).alias("runs"))
     texts = docs.select("doc_id", "text").join(by_doc, F.col("doc_id") == F.col("doc")).select("doc", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1_000_000):
             flat = pa.ListArray.flatten(batch.column("runs"))
             counts = np.array([len(x) for x in batch.column("runs")], np.int64)
-            start, end = (flat.field(k).to_numpy() for k in ("start", "end"))
+            anchor, start, end, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "start", "end", "hot"))
             texts = [x.as_buffer().to_pybytes() for x in batch.column("text").cast(pa.binary())]
             text = np.repeat(np.arange(len(counts)), counts).tolist()
             data = [texts[t][a : b + LENGTH - 1] for t, a, b in zip(text, start.tolist(), end.tolist(), strict=True)]
             doc = np.repeat(batch.column("doc").to_numpy(), counts)
-            yield pa.RecordBatch.from_arrays(
-                [flat.field("anchor"), pa.array(doc), pa.array(start), pa.array(end - start), pa.array(data, pa.binary())], names=["anchor", "doc", "start", "n", "data"]
-            )
+            cold = ~hot
+            more = apart(anchor[hot], doc[hot], start[hot], [x for x, h in zip(data, hot.tolist(), strict=True) if h]) if hot.any() else ([], [], [], [], [])
+            columns = [np.r_[x[cold], np.array(y, np.int64)] for x, y in zip((anchor, doc, start, end - start), more, strict=False)]
+            parts = [*(x for x, h in zip(data, hot.tolist(), strict=True) if not h), *more[4]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], names=["anchor", "doc", "start", "n", "data"])
 
     return texts.mapInArrow(run, "anchor long, doc long, start long, n long, data binary")
 
@@ -281,6 +304,9 @@ def settle_runs(fetched: DataFrame, n_buckets: int) -> DataFrame:
         held: tuple[list, list, list, list] = ([], [], [], [])
         size, last = 0, None
         for batch in batches:
+            known = batch.filter(pc.is_null(batch.column("data")))
+            yield pa.RecordBatch.from_arrays([known.column("doc"), known.column("start"), pc.add(known.column("start"), known.column("n"))], names=["doc", "start", "end"])
+            batch = batch.filter(pc.is_valid(batch.column("data")))
             for anchor, *row in zip(*(batch.column(k).to_pylist() for k in ("anchor", "doc", "start", "n", "data")), strict=True):
                 if size >= BLOCK and anchor != last:
                     yield sort(*held)
@@ -291,7 +317,8 @@ def settle_runs(fetched: DataFrame, n_buckets: int) -> DataFrame:
         if size:
             yield sort(*held)
 
-    dealt = fetched.repartition(n_buckets, "anchor").sortWithinPartitions("anchor")
+    by = [F.coalesce(F.when(F.col("data").isNull(), F.col("doc")), F.col("anchor"))]  # settled spans go anywhere
+    dealt = fetched.repartition(n_buckets, *by).sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, "doc long, start long, end long")
 
 

@@ -62,9 +62,10 @@ def brute_cut(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("held", [1_000_000, 50])
-def test_repeated_strings_are_cut_as_by_brute_force(spark, monkeypatch, held):
+@pytest.mark.parametrize(("held", "hot"), [(1_000_000, 500), (50, 500), (1000, 2), (1000, 0)])
+def test_repeated_strings_are_cut_as_by_brute_force(spark, monkeypatch, held, hot):
     monkeypatch.setattr(byte_dedup, "HELD_RUNS", held)
+    monkeypatch.setattr(byte_dedup, "HOT", hot)
     rows = varied()
     got = byte_dedup.cut(frame(spark, rows).repartition(3)).collect()
     expected = brute_cut(rows)
