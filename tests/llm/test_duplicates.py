@@ -114,6 +114,12 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_small_buckets_compare_all_of_different_components(spark):
+    rows = [(1, 10, 10), (1, 20, 10), (1, 30, 30), (1, 40, 40), (2, 30, 30), (2, 40, 40), (3, 50, 50)]
+    found = near_dedup.mixed_pairs(spark.createDataFrame(rows, "key long, rep long, component long")).collect()
+    assert sorted(map(tuple, found)) == [(30, 10), (30, 20), (40, 10), (40, 20), (40, 30)]
+
+
 def test_signatures_are_unbiased():
     """Slots agree as often as the weighted Jaccard similarity says, for weights far from one too."""
     r = np.random.default_rng(0)
