@@ -10,8 +10,9 @@ similarity (sum of minima over sum of maxima).
 Documents of equal words collapse first. Bands of ``ROWS`` slots deal the rest into buckets. In a bucket every
 document is compared with a centre; verified links join components. Buckets of at most ``FEW`` documents then
 compare all that are still of different components. Larger ones never compare all with all: further rounds pick
-a few other centres and compare only documents of different components, as long as a round finds a link. Texts
-of candidates alone are kept for verification.
+a few other centres and compare only documents of different components, as long as a round finds a link. Members
+of large buckets that are then still of different components are joined on their rarest shingles, which loses no
+link (``prefix_pairs``). Texts of candidates alone are kept for verification.
 
 Defined results: documents without words (null, empty) are a class each; under five words the whole is one
 shingle; rows sharing an id are one document; a null id has a null class unless a row of equal words has an
@@ -37,6 +38,7 @@ PAIRS_A_TASK = 5_000
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**24 < 4e-6
 SLOTS = BANDS * ROWS
 CENTRES, FEW = 4, 256  # centres of a large bucket in a round after the first; most members of one that isn't large
+COUNTER_BITS, SALTS = 20, 16  # counters that order shingles by rarity; parts of a shingle that more than FEW documents share
 SIGNED = "doc_id long, digest binary, bands array<long>"
 
 
@@ -168,6 +170,73 @@ def mixed_pairs(members: DataFrame) -> DataFrame:
     return sets.select("all", F.explode("all").alias("x")).select(F.col("x.rep").alias("a"), F.explode(others).alias("y")).select("a", F.col("y.rep").alias("b")).distinct()
 
 
+def expanded(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each multiset as a set in which a shingle stands once for each occurrence: token, text; and the size of each text's set."""
+    hashes, counts, owner = multisets(words, bounds)
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    owner = np.repeat(owner, counts).astype(np.int64)
+    return mix(np.repeat(hashes, counts) ^ mix(nth.astype(np.uint64))), owner, np.bincount(owner, minlength=len(bounds) - 1)
+
+
+def counter_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def token_counts(texts: DataFrame) -> np.ndarray:
+    """How many tokens of all texts fall on each counter: at least the number of texts that hold a token of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held = WordHashes(), np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in pieces(batches, "text"):
+            held += np.bincount(counter_of(expanded(*hashes.of(batch.column("text").to_pylist()))[0]), minlength=len(held))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["counter", "n"])
+
+    found = texts.select("text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    counts[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """token, rep, size, place: the first floor((1 - threshold) * size) + 1 tokens of each text, rarest first, without those that no other text has."""
+    sent = texts.sparkSession.sparkContext.broadcast(token_counts(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = WordHashes(), sent.value
+        for batch in pieces(batches, "text"):
+            tokens, owner, sizes = expanded(*hashes.of(batch.column("text").to_pylist()))
+            n = counts[counter_of(tokens)]
+            order = np.lexsort((tokens, n, owner))
+            tokens, owner, n = tokens[order], owner[order], n[order]
+            place, size = np.arange(len(tokens)) - (np.cumsum(sizes) - sizes)[owner], sizes[owner]
+            keep = (n > 1) & (size - place >= threshold * size - 1e-6)
+            reps = batch.column("rep").take(pa.array(owner[keep]))
+            columns = [pa.array(tokens[keep].view(np.int64)), reps, pa.array(size[keep]), pa.array(place[keep])]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "rep", "size", "place"])
+
+    return texts.select("rep", "text").mapInArrow(run, "token long, rep long, size long, place long")
+
+
+def prefix_pairs(texts: DataFrame, labelled: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs of different components, among them each of similarity ``threshold`` or more. texts: rep, text; labelled: rep, component.
+
+    Tokens have one order, rarest first. Texts of such similarity share threshold / (1 + threshold) of the sum of
+    their sizes, so what follows the first shared token is as long in both, and that token is in both prefixes.
+    The order is free: counters that tokens share change the number of pairs and lose none.
+    """
+    held = prefixes(texts.join(labelled, "rep", "left_semi"), threshold).join(labelled, "rep")
+    held = stored(held, "prefixes")
+    few = lambda df, rows=held.count(): dealt_by(df, rows, ROWS_A_TASK)
+    shared = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    held = stored(few(held.join(shared.select("token", F.when(F.col("n") > FEW, SALTS).otherwise(1).alias("salts")), "token")), "shared")
+    left = held.withColumn("salt", F.expr("int(pmod(xxhash64(rep), salts))")).alias("l")
+    right = held.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).alias("r")
+    rest = f"least(l.size - l.place, r.size - r.place) * {1 + threshold} >= {threshold} * (l.size + r.size) - 1e-6D"
+    both = left.join(right, F.expr(f"l.token = r.token AND l.salt = r.salt AND l.rep > r.rep AND l.component <> r.component AND {rest}"))
+    return few(both.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct())
+
+
 def labels_of(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame | None:
     """node, component of representatives that verified links join; None if there is no link."""
     reps = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
@@ -182,6 +251,16 @@ def labels_of(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame
     texts = docs.select(F.col("doc_id").alias("rep"), "text").where("text IS NOT NULL").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
     texts = stored(texts, "candidates")
     labels, tried, grouped, step = None, None, members.withColumn("component", F.col("rep")), 0
+
+    def whole() -> DataFrame | None:
+        """The labels when no link in large buckets is left out."""
+        labelled = stored(few(grouped.where(F.col("n") > FEW).select("rep", "component").distinct()), "labelled")
+        if labelled.isEmpty():
+            return labels
+        pairs = stored(prefix_pairs(texts, labelled, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
+        good = stored(verify(pairs, texts, threshold), "links")
+        return labels if good.isEmpty() else components(good if labels is None else labels.toDF("a", "b").union(good))
+
     while True:
         if not step:
             pairs = stars(grouped, 1, 0)
@@ -195,7 +274,7 @@ def labels_of(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame
         good = stored(verify(pairs, texts, threshold), "links")
         found = not good.isEmpty()
         if step and not found:
-            return labels
+            return whole()
         if found:
             labels = components(good if labels is None else labels.toDF("a", "b").union(good))
             with_labels = few(members.join(labels, members.rep == labels.node, "left")).select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))

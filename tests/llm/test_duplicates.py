@@ -120,6 +120,41 @@ def test_small_buckets_compare_all_of_different_components(spark):
     assert sorted(map(tuple, found)) == [(30, 10), (30, 20), (40, 10), (40, 20), (40, 30)]
 
 
+def boilerplate():
+    """400 documents of similarity 0.66, in which each of the first 20 with an even id has a copy (0.98 or just above 0.8) of the next id."""
+    frame_of, rows = [f"common{k}" for k in range(100)], []
+    for k in range(400):
+        own = [f"own{k}x{j}" for j in range(25)]
+        if k < 40 and k % 2:
+            own = [f"own{k - 1}x{j}" for j in range(25)]
+            own[-1 if k % 4 == 1 else -13 :] = [f"own{k}y{j}" for j in range(1 if k % 4 == 1 else 13)]
+        rows.append((k, " ".join(frame_of + own)))
+    return rows
+
+
+def test_large_buckets_of_mixed_documents_lose_no_link(spark):
+    rows = boilerplate()
+    expected = brute_classes(rows)
+    assert len(set(expected.values())) == 380
+    signed = spark.createDataFrame([(k, str(k).encode(), [7]) for k, _ in rows], near_dedup.SIGNED)  # all in one bucket
+    labels = near_dedup.labels_of(frame(spark, rows), signed, 0.8)
+    found = {} if labels is None else {r.node: r.component for r in labels.collect()}
+    assert {k: found.get(k, k) for k, _ in rows} == expected
+
+
+@pytest.mark.parametrize("few", [256, 2])
+def test_prefix_pairs_hold_every_link(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    rows = list({k: (k, t) for k, t in varied() if k is not None and bag(t)}.values()) + [(1000 + k, t) for k, t in boilerplate()]
+    texts = spark.createDataFrame(rows, "rep long, text string").repartition(3)
+    labelled = spark.createDataFrame([(k, k) for k, _ in rows], "rep long, component long")
+    got = {(r.a, r.b) for r in near_dedup.prefix_pairs(texts, labelled, 0.8).collect()}
+    bags = {k: bag(t) for k, t in rows}
+    links = {(a, b) for a in bags for b in bags if a > b and similarity(bags[a], bags[b]) >= 0.8}
+    assert len(links) > 30 and links <= got
+    assert len(got) < 5_000  # of 119,805
+
+
 def test_signatures_are_unbiased():
     """Slots agree as often as the weighted Jaccard similarity says, for weights far from one too."""
     r = np.random.default_rng(0)
