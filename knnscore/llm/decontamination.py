@@ -1,7 +1,7 @@
 """Benchmark decontamination: which documents hold which test items.
 
 Items are partitioned by size (their number of distinct five-word shingles, in powers of two). The MinHash
-sketch of an item is the k least hashes of its shingles, k = floor((1 - t) * largest size of the class) + 1:
+sketch of an item is the k least hashes of its shingles, k = largest size of the class - ceil(t * that) + 1, exactly:
 an item with containment t or more misses fewer than k shingles, so at least one of the sketch is in the
 document and the search loses nothing, however long the document. Candidates are verified by exact
 containment of the shingles' words. Documents are scanned in place: no shuffle.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -35,6 +36,11 @@ def grams(words: list[str], size: int) -> set[tuple[str, ...]]:
     return set(zip(*(words[k:] for k in range(size)), strict=False))
 
 
+def needed(n: int, threshold: float) -> int:
+    """The least number of n shingles that is the threshold or more; the threshold is the decimal number that is written, so that 12 of 15 are 0.8."""
+    return math.ceil(Fraction(str(threshold)) * n)
+
+
 class Sketches:
     """Of each size of shingle: the sorted sketch hashes with their items; of each item its shingles."""
 
@@ -48,7 +54,7 @@ class Sketches:
             size = min(SIZE, len(words))
             own = np.unique(shingle_hashes(hashes.of([text])[0], size))
             largest = (1 << len(own).bit_length()) - 1
-            k = math.floor((1 - threshold) * largest) + 1
+            k = largest - needed(largest, threshold) + 1
             found.setdefault(size, []).extend((h, len(self.items)) for h in own[:k].tolist())
             self.items.append((item_id, size, grams(words, size)))
         self.index = {}
@@ -80,7 +86,7 @@ def verified(batch: pa.RecordBatch, sketches: Sketches, hashes: WordHashes, thre
             of_text = {k: v for k, v in of_text.items() if k[0] == text}  # one text's at a time
             of_text[text, size] = grams(WORD.findall(texts[text].lower()), size)
         n = len(wanted & of_text[text, size])
-        if n >= threshold * len(wanted):
+        if n >= needed(len(wanted), threshold):
             yield text, item_id, len(wanted), n
 
 

@@ -4,11 +4,13 @@ import os
 import re
 import zlib
 
+import numpy as np
 import pytest
 import zstandard
 from helpers import WORD, awkward, frame, prose
 from knnscore.llm import decontamination, html_text, quality_classifier, quality_rules
 from knnscore.llm.queries import QUERIES
+from knnscore.llm.shingles import WordHashes, shingle_hashes
 
 
 def counts(text):
@@ -77,6 +79,18 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert decontamination.find_leaks(frame(spark, rows), benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words", [19, 259, 4099])
+def test_items_are_found_without_their_least_hashes(spark, words):
+    """Sizes whose allowed number of missing shingles is whole (3 of 15, 51 of 255, 819 of 4095) and comes out lower in floating point."""
+    item = [f"word{k}" for k in range(words)]
+    n = words - 4
+    own = shingle_hashes(WordHashes().of([" ".join(item)])[0], 5)
+    least = set(np.argsort(own)[: n // 5].tolist())
+    text = " ; ".join(" ".join([f"other{k}", *item[k : k + 5]]) for k in range(n) if k not in least)  # each shingle but the n / 5 of least hash
+    got = decontamination.find_leaks(frame(spark, [(1, text)]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in got] == [(1, 7, n, n - n // 5)]
+
+
 def test_classifier_on_small_tables(spark):
     good = [(i, prose(i, 60 + i)) for i in range(0, 120)]
     bad = [(i, " ".join(w + "###" for w in prose(i, 60).split())) for i in range(120, 180)]
