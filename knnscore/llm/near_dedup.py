@@ -8,11 +8,9 @@ document's latest slot. Two documents agree in a slot with probability equal to
 similarity (sum of minima over sum of maxima).
 
 Documents of equal words collapse first. Bands of ``ROWS`` slots deal the rest into buckets. In a bucket every
-document is compared with a centre; verified links join components. Buckets of at most ``FEW`` documents then
-compare all that are still of different components. Larger ones never compare all with all: further rounds pick
-a few other centres and compare only documents of different components, as long as a round finds a link. Members
-of large buckets that are then still of different components are joined on their rarest shingles, which loses no
-link (``prefix_pairs``). Texts of candidates alone are kept for verification.
+document is compared with a centre, then with a few other centres of different components; verified links join
+components. Members of buckets that still hold several components are then joined on their rarest shingles, which
+loses no link whatever the size of a bucket (``prefix_pairs``). Texts of candidates alone are kept for verification.
 
 Defined results: documents without words (null, empty) are a class each; under five words the whole is one
 shingle; rows sharing an id are one document; a null id has a null class unless a row of equal words has an
@@ -37,7 +35,7 @@ SIZE, SIMILARITY = 5, 0.8
 PAIRS_A_TASK = 5_000
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**24 < 4e-6
 SLOTS = BANDS * ROWS
-CENTRES, FEW = 4, 256  # centres of a large bucket in a round after the first; most members of one that isn't large
+CENTRES, FEW = 4, 256  # centres of a bucket in the second round; most documents that share a shingle without parts
 COUNTER_BITS, SALTS = 20, 16  # counters that order shingles by rarity; parts of a shingle that more than FEW documents share
 SIGNED = "doc_id long, digest binary, bands array<long>"
 
@@ -164,7 +162,7 @@ def stars(members: DataFrame, centres: int, seed: int) -> DataFrame:
 
 
 def mixed_pairs(members: DataFrame) -> DataFrame:
-    """a, b: all members of a bucket of at most ``FEW`` that are of different components."""
+    """a, b: all members of a bucket that are of different components (for tests: the number grows with the square of a bucket)."""
     sets = members.groupBy("key").agg(F.collect_list(F.struct("rep", "component")).alias("all"))
     others = F.expr("filter(all, y -> y.rep < x.rep AND y.component <> x.component)")
     return sets.select("all", F.explode("all").alias("x")).select(F.col("x.rep").alias("a"), F.explode(others).alias("y")).select("a", F.col("y.rep").alias("b")).distinct()
@@ -250,40 +248,23 @@ def labels_of(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame
     wanted = few(members.select("rep").distinct())
     texts = docs.select(F.col("doc_id").alias("rep"), "text").where("text IS NOT NULL").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
     texts = stored(texts, "candidates")
-    labels, tried, grouped, step = None, None, members.withColumn("component", F.col("rep")), 0
-
-    def whole() -> DataFrame | None:
-        """The labels when no link in large buckets is left out."""
-        labelled = stored(few(grouped.where(F.col("n") > FEW).select("rep", "component").distinct()), "labelled")
-        if labelled.isEmpty():
-            return labels
-        pairs = stored(prefix_pairs(texts, labelled, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
-        good = stored(verify(pairs, texts, threshold), "links")
-        return labels if good.isEmpty() else components(good if labels is None else labels.toDF("a", "b").union(good))
-
-    while True:
-        if not step:
-            pairs = stars(grouped, 1, 0)
-        else:
-            pairs = stars(grouped.where(F.col("n") > FEW), CENTRES, step * CENTRES)
-            if step == 1:
-                pairs = pairs.union(mixed_pairs(grouped.where(F.col("n") <= FEW))).distinct()
-            pairs = few(pairs).join(tried, ["a", "b"], "left_anti")
-        pairs = stored(few(pairs), "pairs")
+    labels, tried, grouped = None, None, members.withColumn("component", F.col("rep"))
+    for first, centres in ((0, 1), (CENTRES, CENTRES)):
+        pairs = few(stars(grouped, centres, first))
+        pairs = stored(pairs if tried is None else few(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         good = stored(verify(pairs, texts, threshold), "links")
-        found = not good.isEmpty()
-        if step and not found:
-            return whole()
-        if found:
+        if not good.isEmpty():
             labels = components(good if labels is None else labels.toDF("a", "b").union(good))
-            with_labels = few(members.join(labels, members.rep == labels.node, "left")).select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-            with_labels = with_labels if not step else with_labels.where(F.col("n") > FEW)
+            with_labels = few(members.join(labels, members.rep == labels.node, "left")).select("key", "rep", F.coalesce("component", "rep").alias("component"))
             mixed = few(with_labels.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))).where("low < high").select("key")
             grouped = stored(few(with_labels.join(mixed, "key")), "mixed")
             if grouped.isEmpty():
                 return labels
-        step += 1
+    labelled = stored(few(grouped.select("rep", "component").distinct()), "labelled")
+    pairs = stored(prefix_pairs(texts, labelled, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
+    good = stored(verify(pairs, texts, threshold), "links")
+    return labels if good.isEmpty() else components(good if labels is None else labels.toDF("a", "b").union(good))
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
