@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_0
             yield batch.slice(start)
 
 
+def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of number lists without nulls, one list after the other, and where each list begins."""
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(), bounds - bounds[0]
+
+
 def dealt_by(df: DataFrame, rows: int, each: int) -> DataFrame:
     """``df`` in as many partitions as ``rows`` need at ``each`` a task (eight at least), where it has more: small tables in rounds don't pay for a task per shuffle partition."""
     return df.coalesce(max(8, -(-rows // each)))

@@ -8,13 +8,19 @@ document's latest slot. Two documents agree in a slot with probability equal to
 similarity (sum of minima over sum of maxima).
 
 Documents of equal words collapse first. Bands of ``ROWS`` slots deal the rest into buckets. In a bucket every
-document is compared with a centre, then with a few other centres of different components; verified links join
-components. Members of buckets that still hold several components are then joined on their rarest shingles, which
-loses no link whatever the size of a bucket (``prefix_pairs``). Texts of candidates alone are kept for verification.
+document is compared with one centre, which is the same for most buckets of a document; verified links join
+components. Members of buckets that then hold several components meet on their rarest shingles: all of different
+components that share one are compared. That join loses no link, whatever the size of a bucket (``prefix_pairs``).
+Rounds before it, in which few documents stand for each component that holds a shingle, join most components that
+belong together and so make it small, as pairs of one component are never made; they change no result. There is
+one way for buckets and shingles of all sizes. Hot digests, buckets and shingles are joins of two written tables, whose
+large partitions adaptive execution splits. Only documents that share a bucket are looked at again; their multisets
+are sent once as sets in which a shingle stands once for each occurrence, so that overlaps are counts of equal hashes.
 
 Defined results: documents without words (null, empty) are a class each; under five words the whole is one
 shingle; rows sharing an id are one document; a null id has a null class unless a row of equal words has an
-id; an empty table gives no row; other columns are ignored.
+id; an empty table gives no row; a very long text is handled whole in one
+task, in memory proportional to its length; ties go to the smaller id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import dealt_by, pieces, stored
+from ._shared import dealt_by, lists, pieces, stored
 from .components import ROWS_A_TASK, components
 from .shingles import FACTOR, WordHashes, by_text, mix, shingle_hashes
 
@@ -35,8 +41,9 @@ SIZE, SIMILARITY = 5, 0.8
 PAIRS_A_TASK = 5_000
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**24 < 4e-6
 SLOTS = BANDS * ROWS
-CENTRES, FEW = 4, 256  # centres of a bucket in the second round; most documents that share a shingle without parts
-COUNTER_BITS, SALTS = 20, 16  # counters that order shingles by rarity; parts of a shingle that more than FEW documents share
+COUNTER_BITS = 20  # counters that order shingles by rarity
+DRAWS = 1, 8  # documents of a shingle and component in each round before all that are left are compared; they change the work and not the result
+TOKENS_AT_ONCE = 1_000_000
 SIGNED = "doc_id long, digest binary, bands array<long>"
 
 
@@ -118,161 +125,189 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two multisets (sorted hashes, counts)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = int(np.minimum(a[1][i], b[1][j]).sum())
-    return least / max(1, int(a[1].sum() + b[1].sum()) - least)
+def expanded(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each multiset as a set in which a shingle stands once for each occurrence: tokens of all texts, ascending in each; and where each text's begin."""
+    hashes, counts, owner = multisets(words, bounds)
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    owner = np.repeat(owner, counts).astype(np.int64)
+    tokens = mix(np.repeat(hashes, counts) ^ mix(nth.astype(np.uint64))).view(np.int64)
+    return tokens[np.lexsort((tokens, owner))], np.cumsum(np.r_[0, np.bincount(owner, minlength=len(bounds) - 1)])
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap by the threshold. texts: rep, text."""
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    joined = dealt_by(joined, pairs.count(), PAIRS_A_TASK)
+def bags(texts: DataFrame) -> DataFrame:
+    """rep, tokens of texts (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        for batch in pieces(batches, "text"):
+            tokens, bounds = expanded(*hashes.of(batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens))], names=["rep", "tokens"])
 
-        def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-            words, bounds = hashes.of([text])
-            return multisets(words, bounds)[:2]
+    return texts.select("rep", "text").mapInArrow(run, "rep long, tokens array<long>")
 
-        for batch in pieces(batches, "text_a"):
-            last, held = None, None
-            good = []
-            for ta, tb in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                ta, tb = ta.as_py(), tb.as_py()
-                if tb != last:
-                    last, held = tb, bag(tb)
-                good.append(similarity(bag(ta), held) >= threshold)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+def overlaps(left: np.ndarray, left_sizes: np.ndarray, right: np.ndarray, right_sizes: np.ndarray) -> np.ndarray:
+    """Of pairs of sets that stand one after the other in left and in right: how many values are in both."""
+    pair = np.r_[np.repeat(np.arange(len(left_sizes)), left_sizes), np.repeat(np.arange(len(right_sizes)), right_sizes)]
+    both = np.r_[left, right]
+    order = np.lexsort((both, pair))
+    pair, both = pair[order], both[order]
+    return np.bincount(pair[1:][(both[1:] == both[:-1]) & (pair[1:] == pair[:-1])], minlength=len(left_sizes))
 
 
-def stars(members: DataFrame, centres: int, seed: int) -> DataFrame:
-    """a, b: each member of a bucket with some centres of the bucket that are of other components. members: key, rep, component."""
-    # the same documents are centres of most buckets that they are in, which makes few pairs
-    drawn = [F.min_by(F.struct("rep", "component"), F.struct(F.xxhash64("rep", F.lit(seed + k)), "rep")) for k in range(centres)]
-    chosen = members.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("chosen"))
-    joined = members.join(chosen, "key").select("rep", "component", F.explode("chosen").alias("c")).where("component <> c.component")
-    return joined.select(F.greatest("rep", "c.rep").alias("a"), F.least("rep", "c.rep").alias("b")).distinct()
+def verify(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose multisets overlap by the threshold. held: rep, tokens."""
+    left = held.select(F.col("rep").alias("a"), F.col("tokens").alias("of_a"))
+    right = held.select(F.col("rep").alias("b"), F.col("tokens").alias("of_b"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            (left, a), (right, b) = lists(whole.column("of_a")), lists(whole.column("of_b"))
+            ends = np.searchsorted(a + b, np.arange(TOKENS_AT_ONCE, a[-1] + b[-1] + TOKENS_AT_ONCE, TOKENS_AT_ONCE), "right") - 1
+            for i, j in zip(cuts := np.unique(np.r_[0, ends, whole.num_rows]), cuts[1:], strict=False):
+                n, m = np.diff(a[i : j + 1]), np.diff(b[i : j + 1])
+                common = overlaps(left[a[i] : a[j]], n, right[b[i] : b[j]], m)
+                yield whole.select(["a", "b"]).slice(i, j - i).filter(pa.array(common >= threshold * np.maximum(1, n + m - common) - 1e-9))
 
-def mixed_pairs(members: DataFrame) -> DataFrame:
-    """a, b: all members of a bucket that are of different components (for tests: the number grows with the square of a bucket)."""
-    sets = members.groupBy("key").agg(F.collect_list(F.struct("rep", "component")).alias("all"))
-    others = F.expr("filter(all, y -> y.rep < x.rep AND y.component <> x.component)")
-    return sets.select("all", F.explode("all").alias("x")).select(F.col("x.rep").alias("a"), F.explode(others).alias("y")).select("a", F.col("y.rep").alias("b")).distinct()
+    return dealt_by(joined, pairs.count(), PAIRS_A_TASK).mapInArrow(run, "a long, b long")
 
 
-def expanded(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each multiset as a set in which a shingle stands once for each occurrence: token, text; and the size of each text's set."""
-    hashes, counts, owner = multisets(words, bounds)
-    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    owner = np.repeat(owner, counts).astype(np.int64)
-    return mix(np.repeat(hashes, counts) ^ mix(nth.astype(np.uint64))), owner, np.bincount(owner, minlength=len(bounds) - 1)
+def buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, rep, centre of the members of buckets that several representatives share; and a, b: each member with its centre. reps: rep, bands.
+
+    The centre is the member of least hash, so the same documents are centres of most buckets that they are in, which makes few pairs.
+    """
+    rows = reps.select("rep", F.explode("bands").alias("key"))
+    several = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min(F.struct(F.xxhash64("rep"), "rep")).alias("least"))
+    several = stored(several.where("low < high").select("key", F.col("least.rep").alias("centre")), "buckets")
+    members = stored(rows.join(several, "key"), "members")
+    pairs = members.where("rep <> centre").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+    return members, pairs
+
+
+def mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rep, component of the members of buckets that hold several components."""
+    if labels is None:
+        return members.select("rep", F.col("rep").alias("component")).distinct()
+    marked = stored(members.join(labels, members.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "marked")
+    keys = stored(marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "mixed")
+    return marked.join(keys, "key").select("rep", "component").distinct()
 
 
 def counter_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+    return (tokens.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def token_counts(texts: DataFrame) -> np.ndarray:
-    """How many tokens of all texts fall on each counter: at least the number of texts that hold a token of it."""
+def token_counts(held: DataFrame) -> np.ndarray:
+    """How many tokens of all sets fall on each counter: at least the number of sets that hold a token of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in pieces(batches, "text"):
-            held += np.bincount(counter_of(expanded(*hashes.of(batch.column("text").to_pylist()))[0]), minlength=len(held))
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["counter", "n"])
+        counts = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            counts += np.bincount(counter_of(lists(batch.column("tokens"))[0]), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["counter", "n"])
 
-    found = texts.select("text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    found = held.select("tokens").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << COUNTER_BITS, np.int64)
     counts[found.column("counter").to_numpy()] = found.column("n").to_numpy()
     return counts
 
 
-def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
-    """token, rep, size, place: the first floor((1 - threshold) * size) + 1 tokens of each text, rarest first, without those that no other text has."""
-    sent = texts.sparkSession.sparkContext.broadcast(token_counts(texts))
+def prefixes(held: DataFrame, threshold: float) -> DataFrame:
+    """token, rep, size, place: the first floor((1 - threshold) * size) + 1 tokens of each set, rarest first, without those that no other set has. held: rep, tokens."""
+    sent = held.sparkSession.sparkContext.broadcast(token_counts(held))  # a number for each counter, however many sets there are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), sent.value
-        for batch in pieces(batches, "text"):
-            tokens, owner, sizes = expanded(*hashes.of(batch.column("text").to_pylist()))
+        counts = sent.value
+        for batch in batches:
+            tokens, bounds = lists(batch.column("tokens"))
+            sizes = np.diff(bounds)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
             n = counts[counter_of(tokens)]
             order = np.lexsort((tokens, n, owner))
-            tokens, owner, n = tokens[order], owner[order], n[order]
-            place, size = np.arange(len(tokens)) - (np.cumsum(sizes) - sizes)[owner], sizes[owner]
+            tokens, n = tokens[order], n[order]
+            place, size = np.arange(len(tokens)) - bounds[owner], sizes[owner]
             keep = (n > 1) & (size - place >= threshold * size - 1e-6)
-            reps = batch.column("rep").take(pa.array(owner[keep]))
-            columns = [pa.array(tokens[keep].view(np.int64)), reps, pa.array(size[keep]), pa.array(place[keep])]
+            columns = [pa.array(tokens[keep]), batch.column("rep").take(pa.array(owner[keep])), pa.array(size[keep]), pa.array(place[keep])]
             yield pa.RecordBatch.from_arrays(columns, names=["token", "rep", "size", "place"])
 
-    return texts.select("rep", "text").mapInArrow(run, "token long, rep long, size long, place long")
+    return held.select("rep", "tokens").mapInArrow(run, "token long, rep long, size long, place long")
+
+
+def still_mixed(rows: DataFrame) -> DataFrame:
+    """The rows (token, component, ...) of tokens that several components hold."""
+    several = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    return rows.join(stored(several, "tokens"), "token")
+
+
+def can_link(threshold: float) -> str:
+    """What follows the token is long enough in both sets (rows l and r) for the overlap; they are of different components."""
+    return f"l.component <> r.component AND least(l.size - l.place, r.size - r.place) * {1 + threshold} >= {threshold} * (l.size + r.size) - 1e-6D"
+
 
+def chosen(shared: DataFrame, draws: int, threshold: float) -> DataFrame:
+    """Of the rows (token, rep, size, place, component) of each token and component one a draw: if there is one, of those that can link to a set of equal size."""
+    late = F.expr(f"(size - place) * {1 + threshold} < {2 * threshold} * size - 1e-6D")
+    drawn = [F.min_by(F.struct("rep", "size", "place"), F.struct(late, F.xxhash64("rep", "token", F.lit(k)), "rep")) for k in range(draws)]
+    every = shared.groupBy("token", "component").agg(F.array_distinct(F.array(*drawn)).alias("all"))
+    return every.select("token", "component", F.inline("all")).select("token", "rep", "size", "place", "component")
 
-def prefix_pairs(texts: DataFrame, labelled: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of different components, among them each of similarity ``threshold`` or more. texts: rep, text; labelled: rep, component.
 
-    Tokens have one order, rarest first. Texts of such similarity share threshold / (1 + threshold) of the sum of
+def prefix_pairs(shared: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs of different components, among them each of similarity ``threshold`` or more. shared: token, rep, size, place, component.
+
+    Tokens have one order, rarest first. Sets of such similarity share threshold / (1 + threshold) of the sum of
     their sizes, so what follows the first shared token is as long in both, and that token is in both prefixes.
     The order is free: counters that tokens share change the number of pairs and lose none.
     """
-    held = prefixes(texts.join(labelled, "rep", "left_semi"), threshold).join(labelled, "rep")
-    held = stored(held, "prefixes")
-    few = lambda df, rows=held.count(): dealt_by(df, rows, ROWS_A_TASK)
-    shared = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    held = stored(few(held.join(shared.select("token", F.when(F.col("n") > FEW, SALTS).otherwise(1).alias("salts")), "token")), "shared")
-    left = held.withColumn("salt", F.expr("int(pmod(xxhash64(rep), salts))")).alias("l")
-    right = held.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).alias("r")
-    rest = f"least(l.size - l.place, r.size - r.place) * {1 + threshold} >= {threshold} * (l.size + r.size) - 1e-6D"
-    both = left.join(right, F.expr(f"l.token = r.token AND l.salt = r.salt AND l.rep > r.rep AND l.component <> r.component AND {rest}"))
-    return few(both.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct())
-
-
-def labels_of(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame | None:
-    """node, component of representatives that verified links join; None if there is no link."""
-    reps = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
-    rows = reps.select("rep", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(rows.join(shared, "key"), "members")
+    both = shared.alias("l").join(shared.alias("r"), F.expr(f"l.token = r.token AND l.rep > r.rep AND {can_link(threshold)}"))
+    return both.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
+
+
+def labels_of(docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame | None:
+    """node, component of representatives that verified links join; None if there is no link. reps: rep, bands."""
+    members, pairs = buckets(reps)
     n = members.count()
     if not n:
         return None
     few = lambda df: dealt_by(df, n, ROWS_A_TASK)
     wanted = few(members.select("rep").distinct())
     texts = docs.select(F.col("doc_id").alias("rep"), "text").where("text IS NOT NULL").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
-    texts = stored(texts, "candidates")
-    labels, tried, grouped = None, None, members.withColumn("component", F.col("rep"))
-    for first, centres in ((0, 1), (CENTRES, CENTRES)):
-        pairs = few(stars(grouped, centres, first))
-        pairs = stored(pairs if tried is None else few(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        good = stored(verify(pairs, texts, threshold), "links")
+    held = stored(bags(texts), "bags")
+    tried = stored(few(pairs), "pairs")
+    good = stored(verify(tried, held, threshold), "links")
+    labels = None if good.isEmpty() else components(good)
+    labelled = stored(few(mixed(members, labels)), "labelled")
+    shared = prefixes(held.join(labelled, "rep", "left_semi"), threshold).join(labelled, "rep")
+    for draws in (*DRAWS, None):
+        shared = stored(few(still_mixed(stored(few(shared), "prefixes"))), "shared")
+        if shared.isEmpty():
+            break
+        pairs = prefix_pairs(stored(few(chosen(shared, draws, threshold)), "chosen") if draws else shared, threshold)
+        pairs = stored(few(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
+        tried = tried.union(pairs)
+        good = stored(verify(pairs, held, threshold), "links")
         if not good.isEmpty():
             labels = components(good if labels is None else labels.toDF("a", "b").union(good))
-            with_labels = few(members.join(labels, members.rep == labels.node, "left")).select("key", "rep", F.coalesce("component", "rep").alias("component"))
-            mixed = few(with_labels.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))).where("low < high").select("key")
-            grouped = stored(few(with_labels.join(mixed, "key")), "mixed")
-            if grouped.isEmpty():
-                return labels
-    labelled = stored(few(grouped.select("rep", "component").distinct()), "labelled")
-    pairs = stored(prefix_pairs(texts, labelled, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
-    good = stored(verify(pairs, texts, threshold), "links")
-    return labels if good.isEmpty() else components(good if labels is None else labels.toDF("a", "b").union(good))
+            known = labels.select("node", F.col("component").alias("now"))
+            shared = shared.join(known, shared.rep == known.node, "left").select("token", "rep", "size", "place", F.coalesce("now", "component").alias("component"))
+    return labels
+
+
+def with_representatives(signed: DataFrame) -> DataFrame:
+    """doc_id, rep (the least id with equal words), bands of each row of signed."""
+    copies = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = signed.join(stored(copies.select("digest", "rep"), "copies"), "digest", "left")
+    return joined.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("digest").isNotNull(), F.col("bands")).alias("bands"))
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least id of the class) of each row of docs (doc_id, text)."""
-    signed = stored(sign(docs), "signed")
-    labels = labels_of(docs, signed, threshold)
-    reps = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    rows = signed.select("doc_id", "digest").join(reps, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    rows = stored(with_representatives(stored(sign(docs), "signed")), "representatives")
+    labels = labels_of(docs, rows.where("doc_id = rep AND bands IS NOT NULL").select("rep", "bands"), threshold)
+    rows = rows.select("doc_id", "rep")
     if labels is None:
         return rows.select("doc_id", F.col("rep").alias("class_id"))
     return rows.join(labels, rows.rep == labels.node, "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from helpers import awkward, bag, frame, prose, similarity
 from knnscore.llm import byte_dedup, near_dedup, substring_dedup
 from knnscore.llm.components import components
 from knnscore.llm.suffix_array import suffix_array
+from pyspark.sql import functions as F
 
 
 def varied():
@@ -114,12 +117,6 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in got} == {0}
 
 
-def test_small_buckets_compare_all_of_different_components(spark):
-    rows = [(1, 10, 10), (1, 20, 10), (1, 30, 30), (1, 40, 40), (2, 30, 30), (2, 40, 40), (3, 50, 50)]
-    found = near_dedup.mixed_pairs(spark.createDataFrame(rows, "key long, rep long, component long")).collect()
-    assert sorted(map(tuple, found)) == [(30, 10), (30, 20), (40, 10), (40, 20), (40, 30)]
-
-
 def boilerplate():
     """400 documents of similarity 0.66, in which each of the first 20 with an even id has a copy (0.98 or just above 0.8) of the next id."""
     frame_of, rows = [f"common{k}" for k in range(100)], []
@@ -136,23 +133,58 @@ def test_large_buckets_of_mixed_documents_lose_no_link(spark):
     rows = boilerplate()
     expected = brute_classes(rows)
     assert len(set(expected.values())) == 380
-    signed = spark.createDataFrame([(k, str(k).encode(), [7]) for k, _ in rows], near_dedup.SIGNED)  # all in one bucket
-    labels = near_dedup.labels_of(frame(spark, rows), signed, 0.8)
+    reps = spark.createDataFrame([(k, [7]) for k, _ in rows], "rep long, bands array<long>")  # all in one bucket
+    labels = near_dedup.labels_of(frame(spark, rows), reps, 0.8)
     found = {} if labels is None else {r.node: r.component for r in labels.collect()}
     assert {k: found.get(k, k) for k, _ in rows} == expected
 
 
-@pytest.mark.parametrize("few", [256, 2])
-def test_prefix_pairs_hold_every_link(spark, monkeypatch, few):
-    monkeypatch.setattr(near_dedup, "FEW", few)
+@pytest.mark.parametrize("draws", [(), (1, 8, 8)])
+def test_rounds_change_no_result(spark, monkeypatch, draws):
+    monkeypatch.setattr(near_dedup, "DRAWS", draws)
+    rows = [*varied(), *((1000 + k, t) for k, t in boilerplate()[:60])]
+    expected = brute_classes(rows)
+    got = near_dedup.classes(frame(spark, rows)).collect()
+    assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == expected
+
+
+def test_prefix_pairs_hold_every_link(spark):
     rows = list({k: (k, t) for k, t in varied() if k is not None and bag(t)}.values()) + [(1000 + k, t) for k, t in boilerplate()]
-    texts = spark.createDataFrame(rows, "rep long, text string").repartition(3)
-    labelled = spark.createDataFrame([(k, k) for k, _ in rows], "rep long, component long")
-    got = {(r.a, r.b) for r in near_dedup.prefix_pairs(texts, labelled, 0.8).collect()}
+    held = near_dedup.bags(spark.createDataFrame(rows, "rep long, text string").repartition(3))
+    shared = near_dedup.prefixes(held, 0.8).withColumn("component", F.col("rep"))
+    got = {(r.a, r.b) for r in near_dedup.prefix_pairs(near_dedup.still_mixed(shared), 0.8).collect()}
     bags = {k: bag(t) for k, t in rows}
     links = {(a, b) for a in bags for b in bags if a > b and similarity(bags[a], bags[b]) >= 0.8}
     assert len(links) > 30 and links <= got
     assert len(got) < 5_000  # of 119,805
+    good = near_dedup.verify(spark.createDataFrame(sorted(got), "a long, b long"), held, 0.8).collect()
+    assert {(r.a, r.b) for r in good} == links
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall_against_all_pairs_of_the_test_documents(spark):
+    """Counts the common shingles of every pair; as each link lies within a class, recall of links is one."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    bags = {k: bag(t) for k, t in rows}
+    holders, common = defaultdict(list), Counter()
+    for k, found in bags.items():
+        for shingle, n in found.items():
+            common.update({(other, k): min(n, m) for other, m in holders[shingle]})
+            holders[shingle].append((k, n))
+    links = [p for p, n in common.items() if n >= 0.8 * (bags[p[0]].total() + bags[p[1]].total() - n)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()}
+    assert len(links) > 50 and all(got[a] == got[b] for a, b in links)
+    joined = {k: k for k in bags}  # and classes hold no more than the components of the links
+
+    def find(x):
+        while joined[x] != x:
+            x = joined[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        joined[high] = low
+    assert got == {k: find(k) for k in bags}
 
 
 def test_signatures_are_unbiased():
