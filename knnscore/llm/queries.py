@@ -29,7 +29,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    return found.select("doc_id", "n_units", "n_removed", "n_removed_chars", spans.alias("spans"), "text")
+    return found.select("doc_id", "text", "n_removed_chars", "n_removed", "n_units", spans.alias("spans"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,19 +73,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL = {
     "op2_substring_dedup": r"""
 WITH lines AS (
-  SELECT doc_id, text, generate_subscripts(parts, 1) AS i, unnest(parts) AS line
-  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents)),
-units AS (
-  SELECT doc_id, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words,
-         sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS pos FROM lines),
-ranked AS (
-  SELECT doc_id, i, line, pos, len(words) >= 8 AND
-         row_number() OVER (PARTITION BY CASE WHEN len(words) >= 8 THEN lower(array_to_string(words, ' ')) ELSE doc_id || '/' || i END ORDER BY doc_id, i) > 1 AS gone
-  FROM units)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, CAST(coalesce(sum(length(line)) FILTER (gone), 0) AS BIGINT) AS n_removed_chars,
-       coalesce(string_agg(CAST(pos AS BIGINT) || '-' || CAST(pos + length(line) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS spans,
-       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
-FROM ranked GROUP BY doc_id""",
+  SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)),
+placed AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS line_at FROM lines),
+cut AS (SELECT doc_id, i, line, line_at, regexp_extract_all(line, '.*?[.!?][\x20\x09-\x0D]+|.+') AS parts FROM placed),
+parts AS (SELECT doc_id, i, line_at, generate_subscripts(parts, 1) AS j, unnest(parts) AS part FROM cut),
+sentences AS (
+  SELECT doc_id, i, j, part, line_at + sum(length(part)) OVER (PARTITION BY doc_id, i ORDER BY j) - length(part) AS pos,
+         regexp_extract_all(lower(part), '[\p{L}\p{N}]+') AS words FROM parts),
+units AS (SELECT *, array_to_string(words, ' ') AS unit, len(words) AS n, count(*) OVER (PARTITION BY doc_id, i) = 1 AS alone FROM sentences WHERE len(words) > 0),
+held AS (SELECT unit, count(DISTINCT doc_id) AS n_docs FROM units GROUP BY unit),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, i, j) > 1 AS again FROM units JOIN held USING (unit)),
+islands AS (SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i, j) AS island FROM ranked),
+judged AS (SELECT *, again AND (sum(n) FILTER (again) OVER (PARTITION BY doc_id, island) >= 8 OR (alone AND n_docs >= 10)) AS gone FROM islands),
+rest AS (
+  SELECT doc_id, i, coalesce(string_agg(part, '' ORDER BY j) FILTER (NOT coalesce(gone, false)), '') AS line, coalesce(bool_or(gone), false) AS changed
+  FROM placed LEFT JOIN (SELECT s.doc_id, s.i, s.j, s.part, u.gone FROM sentences s LEFT JOIN judged u USING (doc_id, i, j)) USING (doc_id, i) GROUP BY doc_id, i),
+texts AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT changed OR regexp_matches(line, '[^\x20\x09-\x0D]')), '') AS text FROM rest GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, sum(length(part)) FILTER (gone) AS n_removed_chars,
+         string_agg(CAST(pos AS BIGINT) || '-' || CAST(pos + length(part) AS BIGINT), ',' ORDER BY i, j) FILTER (gone) AS spans FROM judged GROUP BY doc_id)
+SELECT doc_id, t.text, CAST(coalesce(n_removed_chars, 0) AS BIGINT) AS n_removed_chars, coalesce(n_removed, 0) AS n_removed, coalesce(n_units, 0) AS n_units, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN texts t USING (doc_id) LEFT JOIN counts USING (doc_id)""",
     "op3_decontamination": r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -217,18 +218,84 @@ def test_components(spark):
     assert got == {x: find(x) for p in pairs if p[0] != p[1] for x in p}
 
 
+def brute_lines(rows):
+    """What is left of each text: every sentence is looked for in all that come before it."""
+    rows = sorted(((i, t) for i, t in rows if i is not None and t is not None), key=lambda x: x[0])
+    found = []
+    for doc, text in rows:
+        for number, line in enumerate(text.split("\n")):
+            parts = [x for x in re.split(r"(?<=[.!?])(?=[ \t])", line)]
+            joined = []
+            for x in parts:  # white space goes with the sentence before it
+                stripped = x.lstrip(" \t")
+                if joined:
+                    joined[-1] += x[: len(x) - len(stripped)]
+                    joined += [stripped] if stripped else []
+                else:
+                    joined.append(x)
+            normal = [" ".join(re.findall(r"[^\W_]+", x.lower())) for x in joined]
+            for x, n in zip(joined, normal, strict=True):
+                found.append((doc, number, x, n, sum(map(bool, normal)) == 1))
+    holders, out, seen = {}, {}, set()
+    for doc, _, _, n, _ in found:
+        holders.setdefault(n, set()).add(doc)
+    for doc, text in rows:
+        own = [list(x[1:]) for x in found if x[0] == doc]
+        for x in own:
+            x.append(bool(x[2]) and x[2] in seen)
+            seen.add(x[2])
+        named = [x for x in own if x[2]]
+        for k, x in enumerate(named):
+            low = high = k
+            while x[4] and low and named[low - 1][4]:
+                low -= 1
+            while x[4] and high + 1 < len(named) and named[high + 1][4]:
+                high += 1
+            words = sum(len(y[2].split()) for y in named[low : high + 1])
+            x.append(x[4] and (words >= 8 or (x[3] and len(holders[x[2]]) >= 10)))
+        lines = []
+        for number in range(text.count("\n") + 1):
+            here = [x for x in own if x[0] == number]
+            left = "".join(x[1] for x in here if not (x[2] and x[5]))
+            if not any(x[2] and x[5] for x in here) or left.strip():
+                lines.append(left)
+        out[doc] = "\n".join(lines)
+    return out
+
+
+def test_lines_and_sentences_are_removed_as_by_brute_force(spark):
+    passage = "Some sentence of the passage stands here. Then a short one. Of. And a longer sentence, with a comma in it, follows after that. The end."
+    short = "Share this page!"
+    rows = [(k, prose(k, 60)) for k in range(40, 50)]
+    rows += [(60 + k, prose(60 + k, 30).replace("\n", " ") + f" {passage} " + prose(80 + k, 30)) for k in range(3)]
+    rows += [(100 + k, f"{short}\n" * (k % 2 + 1) + prose(100 + k, 20)) for k in range(12)] + [(200, "Read more\nyes"), (201, "READ more.\nno")]
+    rows += [(300, "One. Two. Three."), (301, "One. Two. Three. Four!"), (302, "--- \n***\n--- "), (303, f"  {passage.upper()}  \n{passage}\ttail")]
+    rows += [(x[0] + 1000, x[1]) for x in varied() if x[0] is not None and x[0] < 500]
+    rows = list(dict(rows).items())
+    expected = brute_lines(rows)
+    got = {r.doc_id: r for r in substring_dedup.deduplicate(frame(spark, rows).repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for k, text in expected.items():
+        assert got[k].text == text, k
+    assert sum(r.n_removed > 0 for r in got.values()) > 30
+    assert passage in got[60].text and "comma" not in got[61].text and "short one" not in got[62].text  # in the middle of a line
+    assert got[201].text == "READ more.\nno"  # few documents share the short line
+    assert short in got[100].text and all(short not in got[100 + k].text for k in range(1, 12))
+
+
 def test_lines_are_removed_with_offsets(spark):
     line, other = "One line that many documents have, of ten words or so.", "another line that is long enough to be a unit here"
-    rows = [(2, f"{line}\nshort\n{other}"), (1, f"start\n  {line.upper()}  \nshort\n{line}"), (3, line), (3, line), (4, None), (5, ""), (None, line), (6, "short\nshort\n" + prose(1, 300))]
+    rows = [(2, f"{line}\nshort\n{other}"), (1, f"start\n  {line.upper()}  \nshorter\n{line}"), (3, line), (3, line), (4, None), (5, ""), (None, line), (6, "short\nshort\n" + prose(1, 300))]
     docs = frame(spark, rows)
     got = substring_dedup.deduplicate(docs, carry=("seen",)).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows) and {r.seen for r in got} == {"x"}
-    assert by[1].text == f"start\n  {line.upper()}  \nshort" and by[1].n_removed == 1
+    assert by[1].text == f"start\n  {line.upper()}  \nshorter" and by[1].n_removed == 1
     assert by[2].text == f"short\n{other}" and by[3].text == "" and by[4].text is None and by[5].text == "" and by[None].text == line
     assert by[6].text == rows[-1][1]
     for r in got:
         text = dict(rows)[r.doc_id]
         assert all(text[s.start : s.end].strip().lower() == line.lower() for s in r.spans)
+        assert r.n_removed_chars == sum(s.end - s.start for s in r.spans)
     assert substring_dedup.deduplicate(frame(spark, [])).count() == 0
     assert substring_dedup.deduplicate(frame(spark, awkward())).count() == len(awkward())
