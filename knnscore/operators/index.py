@@ -12,22 +12,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from ..functions.scalar import quantise_vector
+from ..functions.scalar import QUANTUM, quantise_vector
 from .blocks import PAIRS_AT_ONCE, matrix
 
 CENTROID_BYTES = 256 << 20  # bound of what is broadcast
 NPROBE, CLUSTERS = 4, 1024
+SALTS = 16  # parts of a list that are written by different tasks
 
 
 @dataclass
 class Index:
-    """lists: cluster_id, pos, id, qvec, label. clusters: cluster_id, centroid, size, offset, low, high (of quantised values)."""
+    """lists: cluster_id, id, qvec, label (a list's order is that of ids). clusters: cluster_id, centroid, size, offset, low, high (of quantised values)."""
 
     lists: DataFrame
     clusters: DataFrame
     dims: int
     n_clusters: int
     nprobe: int = NPROBE
+    means: np.ndarray | None = None
+
+    def centroids(self) -> np.ndarray:
+        """A row a cluster, under a checked bound."""
+        if self.means is None:
+            if self.n_clusters * self.dims * 8 > CENTROID_BYTES:
+                raise ValueError("the centroids are too large to broadcast")
+            self.means = np.array([r[0] for r in self.clusters.orderBy("cluster_id").select("centroid").collect()], np.float64)
+        return self.means
 
     def check_nprobe(self, nprobe: int) -> None:
         if not 1 <= nprobe <= self.n_clusters:
@@ -35,7 +45,9 @@ class Index:
 
 
 def assign(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """Adds cluster_id: the nearest centroid of vec, of equals the first. No shuffle."""
+    """Adds cluster_id: the nearest centroid of vec, of equals the first; null for a null vector. No shuffle."""
+    if not len(centroids):
+        raise ValueError("there are no centroids")
     if centroids.nbytes > CENTROID_BYTES:
         raise ValueError("the centroids are too large to broadcast")
     sent = rows.sparkSession.sparkContext.broadcast(centroids)
@@ -48,9 +60,12 @@ def assign(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                data = matrix(batch.column("vec"))
-                nearest = (((means * means).sum(axis=1) - 2 * data @ means.T)).argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(nearest.astype(np.int32))], names=[*names, "cluster_id"])
+                there = batch.column("vec").is_valid().to_numpy(zero_copy_only=False)
+                nearest = np.zeros(batch.num_rows, np.int32)
+                if there.any():
+                    data = matrix(batch.column("vec").drop_null())
+                    nearest[there] = ((means * means).sum(axis=1) - 2 * data @ means.T).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(nearest, mask=~there)], names=[*names, "cluster_id"])
 
     return rows.select(*names).mapInArrow(run, schema)
 
@@ -65,7 +80,7 @@ def sizes_and_offsets(assigned: DataFrame, n_clusters: int) -> DataFrame:
 
 
 def layout(assigned: DataFrame) -> DataFrame:
-    """Adds pos: the place in the list, by id."""
+    """Adds pos: the place in the list, by id. A list meets in one task, so searches and files do without it."""
     return assigned.withColumn("pos", F.row_number().over(Window.partitionBy("cluster_id").orderBy("id")) - 1)
 
 
@@ -78,21 +93,25 @@ def boxes(assigned: DataFrame, dims: int) -> DataFrame:
 def build(rows: DataFrame, centroids: np.ndarray, nprobe: int = NPROBE) -> Index:
     """rows: id, vec (floats), label."""
     dims, n = centroids.shape[1], len(centroids)
-    assigned = assign(rows, centroids).withColumn("qvec", quantise_vector("vec"))
+    assigned = assign(rows.where("vec IS NOT NULL"), centroids).withColumn("qvec", quantise_vector("vec"))
     means = rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cluster_id int, centroid array<double>")
+    empty = lambda x: F.array_repeat(F.lit(x).cast("tinyint"), dims)  # noqa: E731  a box that holds nothing
     clusters = means.join(sizes_and_offsets(assigned, n), "cluster_id").join(boxes(assigned, dims), "cluster_id", "left")
-    index = Index(layout(assigned).select("cluster_id", "pos", "id", "qvec", "label"), clusters, dims, n, nprobe)
+    clusters = clusters.withColumn("low", F.coalesce("low", empty(QUANTUM))).withColumn("high", F.coalesce("high", empty(-QUANTUM)))
+    index = Index(assigned.select("cluster_id", "id", "qvec", "label"), clusters, dims, n, nprobe, np.asarray(centroids, np.float64))
     index.check_nprobe(nprobe)
     return index
 
 
 def save(index: Index, path: str) -> None:
-    """Lists as Parquet by cluster, so that a probe reads its lists alone; then clusters and metadata."""
-    dealt = index.lists.repartition("cluster_id").sortWithinPartitions("cluster_id", "pos")
+    """Lists as Parquet by cluster, so that a probe reads its lists alone; then clusters, from the written lists, and metadata. A list is written by several tasks."""
+    spark = index.lists.sparkSession
+    salt = F.expr(f"pmod(xxhash64(id), {SALTS})")
+    dealt = index.lists.repartition("cluster_id", salt).sortWithinPartitions("cluster_id", "id")
     dealt.write.partitionBy("cluster_id").parquet(f"{path}/lists")
     index.clusters.write.parquet(f"{path}/clusters")
-    meta = {"count": index.lists.sparkSession.read.parquet(f"{path}/lists").count(), "dims": index.dims, "clusters": index.n_clusters, "nprobe": index.nprobe}
-    index.lists.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/meta")
+    meta = {"count": spark.read.parquet(f"{path}/clusters").agg(F.sum("size")).first()[0], "dims": index.dims, "clusters": index.n_clusters, "nprobe": index.nprobe}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str, dims: int | None = None) -> Index:

@@ -9,21 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import matrix
+from .blocks import distances, matrix, steps, with_vectors
 from .index import CLUSTERS, assign
 
-ROUNDS, SAMPLE_ROWS, SEED = 20, 100_000, 0x42424242
+ROUNDS, SAMPLE_ROWS, SEED = 20, 100_000, 7
 
 
 def first_rows(rows: DataFrame, n: int) -> np.ndarray:
-    """The vectors of the n smallest ids: seeds that SQL can name."""
-    return np.array([r[0] for r in rows.orderBy("id").select("vec").limit(n).collect()], np.float64)
+    """The vectors of the n smallest ids: seeds that SQL can name. Null vectors are left out."""
+    return np.array([r[0] for r in rows.where("vec IS NOT NULL").orderBy("id").select("vec").limit(n).collect()], np.float64)
 
 
 def spread_seeds(rows: DataFrame, n: int = CLUSTERS, sample: int = SAMPLE_ROWS, seed: int = SEED) -> np.ndarray:
-    """k-means++ on at most ``sample`` rows, the first in the order of a hash: each next seed is drawn with probability in proportion to the squared distance to the nearest so far."""
-    drawn = rows.orderBy(F.xxhash64("id"), "id").select("vec").limit(sample).toArrow().combine_chunks()
-    data = matrix(drawn.column("vec").combine_chunks())
+    """k-means++ on at most ``sample`` rows, the first in the order of a hash: each next seed is drawn with probability in proportion to the squared distance to the nearest so far. No rows give no seeds."""
+    drawn = rows.where("vec IS NOT NULL").orderBy(F.xxhash64("id"), "id").select("vec").limit(sample).toArrow()
+    if not drawn.num_rows:
+        return np.zeros((0, 0))
+    data = matrix(pa.concat_arrays(drawn.column("vec").chunks))
     random = np.random.default_rng(seed)
     seeds = [data[random.integers(len(data))]]
     least = np.full(len(data), np.inf)
@@ -42,7 +44,7 @@ def partial_sums(assigned: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         counts: dict[int, int] = {}
-        for batch in batches:
+        for batch in map(with_vectors, batches):
             data, cluster = matrix(batch.column("vec")), batch.column("cluster_id").to_numpy(zero_copy_only=False)
             for c in np.unique(cluster).tolist():
                 own = data[cluster == c]
@@ -71,7 +73,7 @@ def step(rows: DataFrame, centroids: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, seeds: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """The centroids after the rounds, and those before the last one: lists follow the latter, half a round older, as in the engine this one stands in for."""
+    """The centroids after the rounds, and those before the last one: lists follow the latter, half a round older."""
     before = centroids = seeds
     for _ in range(rounds):
         before, centroids = centroids, step(rows, centroids)
@@ -83,9 +85,10 @@ def mass(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, c = matrix(batch.column("vec")), sent.value
-            found = ((data[:, None, :] - c[None]) ** 2).sum(axis=2).min(axis=1) if len(data) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array([float(found.sum())])], names=["part"])
+        for batch in map(with_vectors, batches):
+            data, c, total = matrix(batch.column("vec")), sent.value, 0.0
+            for part in steps(np.arange(len(data)), len(c)):
+                total += float(distances(data[part], c).min(axis=1).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["part"])
 
     return rows.select("vec").mapInArrow(run, "part double").agg(F.sum("part").alias("total"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,6 +14,8 @@ from . import blocks
 from .index import Index
 
 K = 5
+CHUNK = 256  # rows of similar first dimension that are skipped or compared together
+LISTS_BY_NAME = 2000  # most lists that a scan names, so that files of others aren't opened
 
 
 def exact(rows: DataFrame, queries: DataFrame, dims: int, k: int = K, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -20,58 +23,122 @@ def exact(rows: DataFrame, queries: DataFrame, dims: int, k: int = K, carry: tup
     return blocks.top_k(rows, queries, k, dims, carry=carry)
 
 
-def first_dimension_pruned(rows: DataFrame, queries: DataFrame, dims: int, k: int = K, near: float = 0.0) -> DataFrame:
-    """As ``exact``, in two passes over rows whose first dimension is a column ``d0`` (files sorted by it skip row groups).
+def sorted_by_first_dimension(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Adds d0, the first dimension, and sorts by it and id across partitions by range; written so, files and row groups have narrow ranges of d0."""
+    d0 = rows.withColumn("d0", F.col("vec")[0].cast("double"))
+    return d0.repartitionByRange(*([partitions] if partitions else []), "d0", "id").sortWithinPartitions("d0", "id")
 
-    First, rows within ``near`` of the query's first dimension give k candidates and with them a radius; then only
-    rows within the radius in that dimension are compared, ties included. Without k candidates the radius is infinite.
-    """
 
-    def close(held: blocks.Queries, data: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-        return np.abs(held.vectors[:, :1] - data[:, 0]) <= near
+def chunks_within(reach) -> blocks.Pairing:
+    """Rows of a batch in the order of their first dimension, in chunks; each is compared with the queries that reach(held, gap to the chunk, limit) names."""
+
+    def pairing(held: blocks.Queries, batch: pa.RecordBatch, data: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, None]]:
+        if not len(data):
+            return
+        order = np.argsort(data[:, 0], kind="stable")
+        asked = held.vectors[:, 0]
+        for at in range(0, len(order), CHUNK):
+            rows = order[at : at + CHUNK]
+            gap = np.maximum(np.maximum(data[rows[0], 0] - asked, asked - data[rows[-1], 0]), 0)
+            queries = np.flatnonzero(reach(held, gap, limit))
+            if len(queries):
+                yield from ((part, queries, None) for part in blocks.steps(rows, len(queries)))
+
+    return pairing
 
-    def reached(held: blocks.Queries, data: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-        gap = held.vectors[:, :1] - data[:, 0]
-        return gap * gap <= held.extra["radius"][:, None].astype(float)
 
+def first_dimension_pruned(rows: DataFrame, queries: DataFrame, dims: int, k: int = K, near: float = 0.0) -> DataFrame:
+    """As ``exact``, in two passes over rows whose first dimension is a column ``d0`` (see ``sorted_by_first_dimension``).
+
+    First, rows within ``near`` of the query's first dimension give k candidates and with them a radius; then only
+    rows whose first dimension is within the radius, and within the k-th distance found so far, are compared, ties
+    included. Without k candidates the radius is infinite. What lies outside of all radii isn't read.
+    """
+    close = chunks_within(lambda held, gap, limit: gap <= near)
+    reached = chunks_within(lambda held, gap, limit: gap * gap <= np.minimum(held.extra["radius"].to_numpy(zero_copy_only=False), limit))
     first = blocks.top_k(rows, queries, k, dims, close)
     radius = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("radius"))
-    known = queries.join(radius, "query_id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
+    known = queries.alias("q").join(radius.alias("r"), F.expr("q.query_id <=> r.query_id"), "left").select("q.query_id", "q.vec", F.coalesce("r.radius", F.lit(float("inf"))).alias("radius"))
     low, high = known.agg(F.min(F.col("vec")[0] - F.sqrt("radius")), F.max(F.col("vec")[0] + F.sqrt("radius"))).first()
     within = rows if low is None else rows.where((F.col("d0") >= float(low)) & (F.col("d0") <= float(high)))
     return blocks.top_k(within, known, k, dims, reached, ("radius",))
 
 
-def probe(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:
-    """query_id, probe_rank (from 1), cluster_id: the nearest centroids, of equals the smaller cluster id."""
+def probe_lists(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:
+    """query_id, vec, probes (array of probe_rank from 1 and cluster_id): the nearest centroids, of equals the smaller cluster id. Queries stay where they are."""
     index.check_nprobe(nprobe)
-    centroids = index.clusters.select(F.col("cluster_id").cast("long").alias("id"), F.col("centroid").alias("vec"))
-    found = blocks.top_k(centroids, queries, nprobe, index.dims)
-    return found.select("query_id", F.col("rank").alias("probe_rank"), F.col("id").cast("int").alias("cluster_id"), F.col("dist").alias("centroid_dist"))
+    sent = queries.sparkSession.sparkContext.broadcast(index.centroids())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        means = sent.value
+        for batch in map(blocks.with_vectors, batches):
+            data = blocks.matrix(batch.column("vec"))
+            nearest = [np.zeros((0, nprobe), np.int64), *(blocks.distances(data[part], means).argsort(axis=1, kind="stable")[:, :nprobe] for part in blocks.steps(np.arange(len(data)), len(means)))]
+            flat = np.concatenate(nearest).astype(np.int32).reshape(-1)
+            clusters = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, nprobe, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec"), clusters], names=["query_id", "vec", "clusters"])
 
-def scan_lists(index: Index, queries: DataFrame, probes: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, id, dist, label: the nearest quantised rows of the probed lists; ties by probe rank, then place in the list.
+    kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in ("query_id", "vec"))
+    found = queries.select("query_id", "vec").mapInArrow(run, f"{kinds}, clusters array<int>")
+    return found.select("query_id", "vec", F.transform("clusters", lambda c, i: F.struct((i + 1).alias("probe_rank"), c.alias("cluster_id"))).alias("probes"))
 
-    queries: query_id, vec (quantised). Lists aren't moved: probed ones are read, and each task compares its rows with the
-    queries that probe their list.
-    """
-    lists = index.lists.join(F.broadcast(probes.select("cluster_id").distinct()), "cluster_id", "left_semi")  # at most one row a cluster
-    asked = queries.select("query_id", "vec").join(probes.select("query_id", "cluster_id", "probe_rank"), "query_id")
 
-    def probed(held: blocks.Queries, data: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-        return held.extra["cluster_id"][:, None] == batch.column("cluster_id").to_numpy(zero_copy_only=False)
+def probe(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:
+    """query_id, probe_rank, cluster_id: a row for each list that a query probes."""
+    return probe_lists(queries, index, nprobe).select("query_id", F.inline("probes"))
+
+
+def by_list(held: blocks.Queries, batch: pa.RecordBatch, data: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows of each list with the queries that probe it, but for those whose k-th distance so far is below the distance to the box around the rows."""
+    probes = held.extra["probes"]
+    flat = probes.flatten()
+    asked = np.repeat(np.arange(len(held)), probes.value_lengths().fill_null(0).to_numpy())
+    wanted, number = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("cluster_id", "probe_rank"))
+    by_cluster = np.argsort(wanted, kind="stable")
+    asked, wanted, number = asked[by_cluster], wanted[by_cluster], number[by_cluster]
+    cluster = batch.column("cluster_id").to_numpy(zero_copy_only=False)
+    order = np.argsort(cluster, kind="stable")
+    first = np.flatnonzero(np.r_[True, cluster[order][1:] != cluster[order][:-1]]) if len(order) else []
+    for rows in np.split(order, first[1:]) if len(order) else ():
+        a, b = np.searchsorted(wanted, cluster[rows[0]]), np.searchsorted(wanted, cluster[rows[0]], "right")
+        if a == b:
+            continue
+        low, high = data[rows].min(axis=0), data[rows].max(axis=0)
+        for part in blocks.steps(rows, b - a):
+            vectors = held.vectors[asked[a:b]]
+            gap = np.maximum(np.maximum(low - vectors, vectors - high), 0)
+            near = np.einsum("ij,ij->i", gap, gap) <= limit[asked[a:b]]
+            yield part, asked[a:b][near], number[a:b][near]
+
+
+def _scan(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """asked: query_id, vec (quantised), probes."""
+    parts = []
+    for block in blocks.query_blocks(asked, index.dims, ("probes",)):
+        named = block.extra["probes"].flatten().field("cluster_id").unique().to_pylist() if len(block) else []
+        lists = index.lists.where(F.col("cluster_id").isin(named)) if len(named) <= LISTS_BY_NAME and len(named) < index.n_clusters else index.lists
+        rows = lists.select("id", "cluster_id", F.col("qvec").alias("vec"), "label")
+        parts.append(blocks.block_top_k(rows, block, k, by_list, ("probe_rank", "id"), ("label",), "probe_rank"))
+    return blocks.ranked(reduce(DataFrame.unionByName, parts), k, ("probe_rank", "id")).select("query_id", "rank", "id", "dist", "label")
 
-    rows = lists.select("id", "cluster_id", "pos", F.col("qvec").alias("vec"), "label")
-    parts = [blocks.block_top_k(rows, b, k, probed, ("pos",), ("id", "label"), "probe_rank") for b in blocks.query_blocks(asked, index.dims, ("cluster_id", "probe_rank"))]
-    return blocks.ranked(reduce(DataFrame.unionByName, parts), k, ("probe_rank", "pos")).select("query_id", "rank", "id", "dist", "label")
+
+def scan_lists(index: Index, queries: DataFrame, probes: DataFrame, k: int = K) -> DataFrame:
+    """query_id, rank, id, dist, label: the nearest quantised rows of the probed lists; ties by probe rank, then id, which is the order in a list.
+
+    queries: query_id, vec (quantised). probes: query_id, cluster_id, probe_rank. Lists aren't moved: probed ones are
+    read, and each task compares the rows of a list with the queries that probe it alone, less those that the box
+    around the rows rules out.
+    """
+    lists = probes.groupBy("query_id").agg(F.collect_list(F.struct("probe_rank", "cluster_id")).alias("probes"))
+    asked = queries.alias("q").join(lists.alias("p"), F.expr("q.query_id <=> p.query_id")).select("q.query_id", "q.vec", "p.probes")
+    return _scan(index, asked, k)
 
 
 def inverted_file(index: Index, queries: DataFrame, nprobe: int, k: int = K) -> DataFrame:
-    """Search of float queries (query_id, vec): probe, quantise, scan."""
+    """Search of float queries (query_id, vec): probe, quantise, scan. With as many probes as lists nothing is lost: boxes alone rule rows out."""
     from ..functions.scalar import quantise_vector
 
-    return scan_lists(index, queries.withColumn("vec", quantise_vector("vec")), probe(queries, index, nprobe), k)
+    return _scan(index, probe_lists(queries, index, nprobe).withColumn("vec", quantise_vector("vec")), k)
 
 
 def pruned_probes(index: Index, queries: DataFrame, k: int = K) -> DataFrame:
@@ -93,12 +160,12 @@ def box_bounds(index: Index, queries: DataFrame, carry: tuple[str, ...] = ()) ->
             held = sent.value
             for batch in batches:
                 low, high = (blocks.matrix(batch.column(c)) for c in ("low", "high"))
-                for i, (qid, q) in enumerate(zip(held.ids.tolist(), held.vectors, strict=True)):
+                for i, q in enumerate(held.vectors):
                     gap = np.maximum(np.maximum(low - q, q - high), 0)
-                    more = [pa.array(np.full(batch.num_rows, held.extra[c][i], float)) for c in carry]
-                    columns = [pa.array(np.full(batch.num_rows, qid)), batch.column("cluster_id"), pa.array((gap * gap).sum(axis=1).astype(np.int64)), *more]
+                    same = pa.array(np.full(batch.num_rows, i))
+                    columns = [held.ids.take(same), batch.column("cluster_id"), pa.array((gap * gap).sum(axis=1).astype(np.int64)), *(held.extra[c].take(same) for c in carry)]
                     yield pa.RecordBatch.from_arrays(columns, names=["query_id", "cluster_id", "bound", *carry])
 
-        schema = "query_id long, cluster_id int, bound long" + "".join(f", {c} double" for c in carry)
+        schema = f"query_id {block.kind}, cluster_id int, bound long" + "".join(f", {c} double" for c in carry)
         parts.append(index.clusters.where("size > 0").select("cluster_id", "low", "high").mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, parts)

@@ -1,16 +1,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from knnscore.functions import scalar as S
-from knnscore.operators import index, kmeans, search, vote
+from knnscore.operators import blocks, index, kmeans, search, vote
 
 ROWS, QUERIES = "id long, vec array<float>, label int", "query_id long, vec array<float>"
 #: Example vectors of the two kinds of request.
-LEGIT = [0.0041, 0.1667, 0.05, 0.7826, 0.3333, -1, -1, 0.0292, 0.15, 0, 1, 0, 0.15, 0.006]
-FRAUD = [0.9506, 0.8333, 1.0, 0.2174, 0.8333, -1, -1, 0.9523, 1.0, 0, 1, 1, 0.75, 0.0055]
+LEGIT = [0.02, 0.25, 0.08, 0.5, 0.6, -1, -1, 0.06, 0.2, 0, 1, 0, 0.2, 0.01]
+FRAUD = [0.88, 0.75, 0.96, 0.1, 0.7, -1, -1, 0.9, 0.95, 1, 0, 1, 0.8, 0.02]
 
 
 def first(*values):
@@ -142,8 +143,8 @@ def test_empty_clusters_and_bad_nprobe(spark):
     data = integers(4, n=50)
     centroids = np.vstack([data[:3], [[99.0] * 6]])
     built = index.build(rows(spark, data.tolist()), centroids, 2)
-    sizes = {r.cluster_id: (r["size"], r["offset"], r.low) for r in built.clusters.collect()}
-    assert sizes[3] == (0, 50, None) and sum(s for s, _, _ in sizes.values()) == 50
+    sizes = {r.cluster_id: (r["size"], r["offset"], r.low, r.high) for r in built.clusters.collect()}
+    assert sizes[3] == (0, 50, [127] * 6, [-127] * 6) and sum(x[0] for x in sizes.values()) == 50
     assert kmeans.step(rows(spark, data.tolist()), centroids)[3].tolist() == [99.0] * 6
     for nprobe in (0, 5):
         with pytest.raises(ValueError):
@@ -172,3 +173,68 @@ def test_kmeans_matches_numpy(spark):
         nearest = ((x[:, None] - expected[None]) ** 2).sum(axis=2).argmin(axis=1)
         last, expected = expected, np.array([np.float32(x[nearest == c].mean(axis=0)) if (nearest == c).any() else expected[c] for c in range(5)], float)
     assert np.allclose(centroids, expected, atol=1e-6) and np.allclose(before, last, atol=1e-6)
+
+
+def test_repeated_null_and_text_ids(spark):
+    data = spark.createDataFrame([(None, [0.0, 1.0]), ("a", [0.0, 1.0]), ("b", [5.0, 1.0]), ("c", None), ("d", [0.0, 1.0]), ("d", [9.0, 9.0])], "id string, vec array<float>")
+    queries = spark.createDataFrame([("q", [0.0, 1.0]), ("q", [0.0, 1.0]), (None, [5.0, 1.0]), ("n", None)], QUERIES.replace("long", "string"))
+    got = [(r.query_id, r.rank, r.id, r.dist) for r in search.exact(data, queries, 2, k=3).collect()]
+    assert sorted(x for x in got if x[0] == "q") == [("q", 1, "a", 0.0), ("q", 2, "d", 0.0), ("q", 3, None, 0.0)]
+    assert [x[2] for x in sorted((x for x in got if x[0] is None), key=lambda x: x[1])] == ["b", "a", "d"]
+    assert len(got) == 6
+    pruned = search.first_dimension_pruned(data.where("vec IS NOT NULL").withColumn("d0", F.col("vec")[0].cast("double")), queries, 2, k=3).collect()
+    assert sorted(map(str, pruned)) == sorted(map(str, search.exact(data, queries, 2, k=3).select("query_id", "id", "dist", "rank").select(pruned[0].__fields__).collect()))
+
+
+def test_index_on_null_vectors_and_empty_tables(spark):
+    data = integers(7, n=40)
+    plain = rows(spark, data.tolist())
+    holes = plain.union(spark.createDataFrame([(100, None, 1), (None, data[3].tolist(), 0)], ROWS))
+    assert index.assign(holes, data[:3].copy()).where("id = 100").first().cluster_id is None
+    built = index.build(holes, data[:3].copy(), 3)
+    twice = ask(spark, data[3].tolist()).union(ask(spark, data[3].tolist(), data[5].tolist()))
+    got = search.inverted_file(built, twice, 3).collect()
+    assert sorted(r["rank"] for r in got) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert {r.id for r in got if r.query_id == 0 and r.dist == 0} == {3, None}
+    assert len(kmeans.spread_seeds(plain.limit(0), 4)) == 0
+    with pytest.raises(ValueError):
+        index.assign(plain, kmeans.spread_seeds(plain.limit(0), 4))
+    empty = index.build(plain.limit(0), data[:3].copy(), 2)
+    assert search.inverted_file(empty, twice, 2).count() == 0 and empty.clusters.agg(F.sum("size")).first()[0] == 0
+    assert search.inverted_file(built, twice.limit(0), 2).count() == 0
+
+
+def test_boxes_rule_rows_out_in_the_scan():
+    """In a batch of far lists, later ones aren't compared; with a wrong box bound the result would differ."""
+    random = np.random.default_rng(5)
+    data = np.concatenate([random.integers(-5, 5, (50, 4)) + 40 * c for c in range(3)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array([i // 50 for i in range(150)], pa.int32()), pa.array(data.tolist(), pa.list_(pa.int16())), pa.array([0] * 150)], names=["id", "cluster_id", "vec", "label"])
+    probes = pa.array([[{"probe_rank": c + 1, "cluster_id": c} for c in range(3)]] * 4)
+    held = blocks.Queries(pa.array(range(4)), "bigint", data[:4].astype(float), True, {"probes": probes})
+    best = blocks.Best(held, 5, search.by_list, ("probe_rank", "id"), ("id", "label"), "probe_rank")
+    best.add(batch)
+    truth = [sorted((((data[i] - data[q]) ** 2).sum(), i) for i in range(150))[:5] for q in range(4)]
+    assert best.compared == 4 * 50
+    got = best.result().to_pylist()
+    assert [[(r["dist"], r["id"]) for r in got if r["query_id"] == q] for q in range(4)] == truth
+
+
+def test_first_dimension_store_skips_row_groups(spark, tmp_path):
+    data = np.random.default_rng(8).normal(size=(4000, 4))
+    frame = rows(spark, data.tolist())
+    search.sorted_by_first_dimension(frame, 4).write.parquet(f"{tmp_path}/sorted")
+    stored = spark.read.parquet(f"{tmp_path}/sorted")
+    parts = stored.groupBy(F.input_file_name()).agg(F.min("d0").alias("low"), F.max("d0").alias("high")).orderBy("low").collect()
+    assert len(parts) > 1 and all(a.high <= b.low for a, b in zip(parts, parts[1:], strict=False))
+    queries = ask(spark, *data[:3].tolist())
+    order = lambda df: df.orderBy("query_id", "rank").collect()
+    assert order(search.first_dimension_pruned(stored, queries, 4, near=0.2)) == order(search.exact(frame, queries, 4))
+    plan = stored.where("d0 >= 0.5D AND d0 <= 0.6D")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(d0), GreaterThanOrEqual(d0,0.5), LessThanOrEqual(d0,0.6)]" in plan
+
+
+def test_mass_and_one_round_match_numpy(spark):
+    data = integers(9, n=120)
+    x = np.float32(data).astype(float)
+    total = ((x[:, None] - x[None, :4]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert kmeans.mass(rows(spark, data.tolist()), x[:4]).first().total == pytest.approx(total)
