@@ -4,17 +4,23 @@ The standard library's parser emits events; they are gathered into lines (the te
 tags). A line's ratio is its characters over its tags; ratios are smoothed by a Gaussian over neighbouring
 lines, and lines at or above the standard deviation of the smoothed ratios form the content cluster. The
 region is the article (or main) element with most of the cluster's text, else the innermost element with
-nearly all of it; every line of the region is content. Lines in elements that name themselves menus, page
-headers, footers, sidebars, notices, adverts, forms, comments and the like have ratio zero and never count.
+nearly all of it; every line of the region is content. Where no element but the page's body holds the cluster,
+the lines from the first to the last whose own ratio is as high, with a heading right before, are content.
 
-Defined results: null or empty html gives an empty text; broken and unclosed markup is read on; repeated
-rows give repeated results; other columns are ignored.
+Lines in elements that name themselves menus, page headers, footers, sidebars, notices, adverts, forms, comments
+and the like have ratio zero and never count. Inside an article that is so for whole boxes alone (``BOXES`` whose
+class or id is such a name), never for headings, paragraphs, or an article's own header.
+
+Defined results: null or empty html gives an empty text; broken and unclosed markup is read on; a page is read
+whole in one task, in time and memory proportional to its length; of equally heavy regions the first or innermost
+counts; repeated rows give repeated results; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,13 +37,19 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset(
     "head title nav header footer aside form script style noscript template iframe svg canvas object audio video button select textarea "
-    "dialog menu datalist math map".split()
+    "dialog menu datalist".split()
 )
 PART = re.compile(
     r"(?:^|[\s_-])(?:ads?|alerts?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footers?|gdpr|headers?|masthead|menus?|modal|nav|navbar|"
     r"navigation|newsletter|notices?|pagination|pager|popup|promos?|promoted|recommended|related|respond|share|sharing|sidebars?|skip|social|sponsor(?:ed|s)?|subscribe|toolbar|widgets?)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+BOXES = frozenset("aside div section ul ol dl table figure".split())
+INSIDE = re.compile(
+    r"(?:^|\s)(?:ads?|adverts?|advertisements?|advertising|banners?|comments?|disqus|newsletter|pagination|promos?|promoted|recommended|related|respond|share|sharing|sidebars?|social|sponsor(?:ed)?|subscribe|"
+    r"cookies?|consent|toolbar)(?:[_-]?(?:area|articles|bar|block|box|buttons?|container|content|form|icons?|inner|items|links?|list|notice|posts|section|slot|stories|thread|unit|widget|wrap|wrapper))?(?:$|\s)",
+    re.IGNORECASE,
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())  # may be named after a header and are none
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: Opening one of these closes an open one of the same list, up to the nearest list or table.
@@ -47,14 +59,15 @@ CLOSES_P = BLOCK - {"br", "option", "optgroup", "legend", "summary", "caption"}
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags, chain of open elements, dropped)."""
+    """Collects lines: (text, tags, innermost open element or -1, dropped). elements and parents: name, and number of the element around, of each element."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.elements: list[str] = []
+        self.parents: list[int] = []
         self.open: list[tuple[str, int, bool]] = []
-        self.chain: tuple[int, ...] = ()
+        self.names: Counter[str] = Counter()  # of open elements
         self.text: list[str] = []
         self.tags = 0
         self.dropped = 0
@@ -62,25 +75,31 @@ class _Lines(HTMLParser):
     def end_line(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
-                self.lines.append((text, self.tags, self.chain, self.dropped > 0))
+                self.lines.append((text, self.tags, self.innermost(), self.dropped > 0))
                 self.tags = 0
             self.text = []
 
+    def innermost(self) -> int:
+        return self.open[-1][1] if self.open else -1
+
     def push(self, tag: str, drop: bool) -> None:
         self.end_line()
+        self.parents.append(self.innermost())
         self.elements.append(tag)
         self.open.append((tag, len(self.elements) - 1, drop))
+        self.names[tag] += 1
         self.dropped += drop
-        self.chain += (len(self.elements) - 1,)
 
     def pop_to(self, depth: int) -> None:
         self.end_line()
-        for _, _, drop in self.open[depth:]:
+        for tag, _, drop in self.open[depth:]:
+            self.names[tag] -= 1
             self.dropped -= drop
         del self.open[depth:]
-        self.chain = self.chain[:depth]
 
     def close_sibling(self, names: tuple[str, ...]) -> None:
+        if not any(self.names[x] for x in names):
+            return None
         for depth in range(len(self.open) - 1, -1, -1):
             tag = self.open[depth][0]
             if tag in names:
@@ -109,12 +128,15 @@ class _Lines(HTMLParser):
             depth = next((d for d, x in enumerate(self.open) if x[2]), 0)
             if self.open[depth][0] in ("nav", "header"):
                 self.pop_to(depth)
-        named = tag not in ("html", "body", "article", "main") or self.dropped > 0
-        drop = tag in DROPPED
+        article = (self.names["article"] or self.names["main"]) and not self.dropped
+        drop = tag in DROPPED and not (article and tag == "header")
         if not drop and tag not in HEADINGS:
             for k, v in attrs:
                 if v and (k == "class" or k == "id"):
-                    drop = bool(PART.search(v)) and (named or "comment" in v.lower())
+                    if article:
+                        drop = tag in BOXES and bool(INSIDE.search(v))
+                    else:
+                        drop = bool(PART.search(v)) and (tag not in ("html", "body", "article", "main") or "comment" in v.lower())
                 elif k == "role":
                     drop = v in ROLES
                 elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "")):
@@ -129,9 +151,8 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag) -> None:
         self.tags += 1
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                return self.pop_to(depth)
+        if self.names[tag]:
+            return self.pop_to(next(depth for depth in range(len(self.open) - 1, -1, -1) if self.open[depth][0] == tag))
         if tag in BLOCK:
             self.end_line()
         return None
@@ -152,13 +173,14 @@ def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def cluster(lines: list[tuple[str, int, tuple[int, ...], bool]], sigma: float = 1.0) -> list[int]:
-    """Numbers of the lines whose smoothed text-to-tag ratio is at least one standard deviation."""
-    ratios = smooth([0.0 if dropped else len(text) / max(1, tags) for text, tags, _, dropped in lines], sigma)
+def cluster(lines: list[tuple[str, int, int, bool]], sigma: float = 1.0) -> tuple[list[int], list[int]]:
+    """Numbers of the lines whose smoothed text-to-tag ratio is at least one standard deviation; and of those among them whose own ratio is."""
+    own = [0.0 if dropped else len(text) / max(1, tags) for text, tags, _, dropped in lines]
+    ratios = smooth(own, sigma)
     mean = sum(ratios) / len(ratios)
     limit = math.sqrt(sum((x - mean) ** 2 for x in ratios) / len(ratios))
-    kept = [i for i, x in enumerate(ratios) if x >= limit and not lines[i][3]]
-    return kept or [i for i, x in enumerate(lines) if not x[3]]
+    kept = [i for i, x in enumerate(ratios) if x >= limit and not lines[i][3]] or [i for i, x in enumerate(lines) if not x[3]]
+    return kept, [i for i in kept if own[i] >= limit] or kept
 
 
 def main_text(html: str | None) -> str:
@@ -171,18 +193,28 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not any(not x[3] for x in lines):
         return ""
-    mass: dict[int, int] = {}
-    total = 0
-    for i in cluster(lines):
-        total += len(lines[i][0])
-        for element in lines[i][2]:
-            mass[element] = mass.get(element, 0) + len(lines[i][0])
-    article = [e for e in mass if parser.elements[e] == "article"] or [e for e in mass if parser.elements[e] == "main"]
+    found, strong = cluster(lines)
+    mass = [0] * len(parser.elements)
+    for i in found:
+        if lines[i][2] >= 0:
+            mass[lines[i][2]] += len(lines[i][0])
+    for e in range(len(mass) - 1, -1, -1):  # elements come after those around them
+        if parser.parents[e] >= 0:
+            mass[parser.parents[e]] += mass[e]
+    total = sum(len(lines[i][0]) for i in found)
+    article = [e for e, m in enumerate(mass) if m and parser.elements[e] == "article"] or [e for e, m in enumerate(mass) if m and parser.elements[e] == "main"]
     if article:
         region = max(article, key=lambda e: (mass[e], -e))
     else:
-        region = max((e for e, m in mass.items() if m >= 0.9 * total and parser.elements[e] in FENCES), default=None)
-    return " ".join(text for text, _, chain, dropped in lines if not dropped and (region is None or region in chain))
+        region = max((e for e, m in enumerate(mass) if m >= 0.9 * total and parser.elements[e] in FENCES), default=-1)
+    if region < 0 or parser.elements[region] == "body":
+        first = strong[0]
+        first -= first > 0 and lines[first - 1][2] >= 0 and parser.elements[lines[first - 1][2]] in HEADINGS
+        return " ".join(text for text, _, _, dropped in lines[first : strong[-1] + 1] if not dropped)
+    inside = [False] * len(mass)
+    for e in range(region, len(mass)):
+        inside[e] = e == region or (parser.parents[e] >= 0 and inside[parser.parents[e]])
+    return " ".join(text for text, _, element, dropped in lines if not dropped and element >= 0 and inside[element])
 
 
 def extract(pages: DataFrame) -> DataFrame:

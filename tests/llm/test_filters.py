@@ -130,11 +130,42 @@ def test_main_text(around):
     assert html_text.main_text(page) == EXPECTED
 
 
+@pytest.mark.parametrize(
+    ("inner", "expected"),
+    [
+        ('<div class="post-header"><h1>Title</h1><p>Lead of it.</p></div><p>Body.</p>', "Title Lead of it. Body."),
+        ('<p class="share-price">The price rose.</p><p>Body.</p>', "The price rose. Body."),
+        ("<p>As <math><mi>x</mi></math> grows, so does y.</p>", "As x grows, so does y."),
+        ('<header><h1>Title</h1></header><p>Body.</p><div class="related-posts"><p>More</p></div><div class="comments">No!</div><aside>Box</aside><form>Mail</form>', "Title Body."),
+        ('<section class="notice-of-rights"><p>Rights.</p></section><ul class="social"><li>Post</ul>', "Rights."),
+    ],
+)
+def test_only_whole_boxes_go_from_an_article(inner, expected):
+    assert html_text.main_text(PAGE.format(body=f"<article>{inner}</article>")) == expected
+
+
+def test_lines_are_clustered_where_no_element_holds_the_text():
+    long = "A paragraph of the text that is long enough to stand out from the links around it, as paragraphs do."
+    links = "".join(f"<p><a href=/{k}>Link {k}</a>" for k in range(8))
+    page = f"<html><body>{links}<h1>Title</h1><p>{long}<p>{long}<p>Short.<p>{long}{links}</body></html>"
+    assert html_text.main_text(page) == f"Title {long} {long} Short. {long}"
+
+
+def test_nested_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert html_text.main_text("<div><p>word text</p>" * 20_000).startswith("word text word text")
+    assert html_text.main_text("<b>" * 20_000 + "x" + "</i></b>" * 20_000) == "x"
+    assert time.perf_counter() - began < 5
+
+
 def test_pages_table(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>"), (4, "u", PAGE.format(body=f"<article>{TEXT}</article>")), (4, "u", "<b>plain"), (5, "u", "<<<>&#x;</a></p>" * 3), (6, "u", "<article><p>x</article>" + "<div>" * 3000)]
     got = html_text.extract(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id, r.n_chars) for r in got if r.page_id < 5) == [(1, 0), (2, 0), (3, 0), (4, 5), (4, len(EXPECTED))]
     assert all(r.n_chars == len(r.text) for r in got) and len(got) == 7
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
