@@ -5,12 +5,19 @@ task hasn't seen are held as one flat array of symbols with sequence numbers. In
 finds its lowest-ranked adjacent pair and all its occurrences are merged at once (leftmost first where they
 overlap); sequences without a pair leave. What counts is the number of surviving symbols.
 
+Sequences over ``LONG_BYTES`` would need as many passes over all their symbols as they have ranks. They are merged in
+the same order, rank after rank for all of them at once, but only the places of that rank and their neighbours are
+looked at: work grows with the number of merges. That needs pairs to rank above those that make their parts, which
+``Merges`` checks.
+
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results; one
-very long pre-token is merged in the same way, in memory proportional to its length; other columns are ignored.
+very long pre-token is merged in the same way, in memory proportional to its length; an empty table gives no
+row; other columns are ignored. A vocabulary whose pre-tokenisation isn't byte-level with the fixed pattern raises.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -24,7 +31,10 @@ from ._shared import pieces
 #: Fixed value: the pattern of byte-level pre-tokenisation, public with its vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 COUNTED = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-KEPT_PRETOKENS, LONG = 200_000, 64
+KEPT_PRETOKENS, LONG, LONG_BYTES = 200_000, 64, 512
+
+
+NONE = np.int64(1 << 40)  # the rank of what is no pair
 
 
 def byte_letters() -> list[str]:
@@ -39,6 +49,11 @@ class Merges:
 
     def __init__(self, definition: str) -> None:
         spec = json.loads(definition)
+        cut = spec.get("pre_tokenizer") or {}
+        if cut.get("type") != "ByteLevel" or not cut.get("use_regex", True) or cut.get("add_prefix_space", True) or spec.get("normalizer"):
+            raise ValueError("only byte-level pre-tokenisation without prefix space and normaliser is known")
+        if any(x.get(k) for x in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("only special strings that are taken as they stand are known")
         vocab: dict[str, int] = spec["model"]["vocab"]
         pairs = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
         self.byte_ids = np.array([vocab[x] for x in byte_letters()], np.int64)
@@ -47,15 +62,86 @@ class Merges:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.pair = dict(enumerate(self.merged.tolist()))
+        made = {a + b: rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        if any(made.get(part, -1) >= rank for rank, pair in enumerate(pairs) for part in pair):
+            raise ValueError("a pair ranks before one of its parts")
         self.specials = [x["content"] for x in spec.get("added_tokens", [])]
 
     def count(self, tokens: list[bytes]) -> np.ndarray:
         """Surviving symbols of each of the sequences."""
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        long = np.flatnonzero(lengths > LONG_BYTES)
+        if not len(long):
+            return self.count_short(tokens)
+        counts = np.zeros(len(tokens), np.int64)
+        short = np.flatnonzero(lengths <= LONG_BYTES)
+        if len(short):
+            counts[short] = self.count_short([tokens[i] for i in short.tolist()])
+        counts[long] = self.count_long([tokens[i] for i in long.tolist()])
+        return counts
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
+    def count_long(self, tokens: list[bytes]) -> np.ndarray:
+        """As ``count_short``: ranks in ascending order, and for each the places that have it."""
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        symbols = self.byte_ids[np.frombuffer(b"".join(tokens), np.uint8)]
+        n = len(symbols)
+        owner = np.repeat(np.arange(len(tokens)), lengths)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(lengths)
+        after[ends - 1], before[ends - lengths] = -1, -1
+        rank = np.full(n, NONE)
+        waiting: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def renew(places: np.ndarray) -> None:
+            """Ranks of the pairs that begin there."""
+            following = after[places]
+            found = np.where(following >= 0, self.ranks_of(symbols[places], symbols[following]), NONE)
+            rank[places] = found
+            places, found = places[found < NONE], found[found < NONE]
+            by = np.argsort(found, kind="stable")
+            places, found = places[by], found[by]
+            first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
+            for r, part in zip(found[first].tolist(), np.split(places, first[1:]) if len(first) else (), strict=True):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(order, r)
+                waiting[r].append(part)
+
+        renew(np.arange(n))
+        counts = lengths.copy()
+        while order:
+            r = heapq.heappop(order)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[rank[places] == r]
+            if not len(places):
+                continue
+            run = np.r_[True, after[places[:-1]] != places[1:]]
+            first = np.maximum.accumulate(np.where(run, np.arange(len(places)), 0))
+            places = places[(np.arange(len(places)) - first) % 2 == 0]
+            gone = after[places]
+            rest = after[gone]
+            symbols[places] = self.pair[r]
+            rank[gone] = NONE
+            after[places] = rest
+            before[rest[rest >= 0]] = places[rest >= 0]
+            counts -= np.bincount(owner[places], minlength=len(counts))
+            left = before[places]
+            renew(np.unique(np.r_[places, left[left >= 0]]))
+        return counts
+
+    def count_short(self, tokens: list[bytes]) -> np.ndarray:
         lengths = np.array([len(t) for t in tokens], np.int64)
         symbols = self.byte_ids[np.frombuffer(b"".join(tokens), np.uint8)]
         owner = np.repeat(np.arange(len(tokens)), lengths)
         counts = lengths.copy()
-        none = np.int64(1 << 40)
+        none = NONE
         while len(symbols) > 1:
             key = symbols[:-1] * self.width + symbols[1:]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)

@@ -82,3 +82,25 @@ def test_token_counts_equal_the_library(spark):
     expected = [(i or -1, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in rows]
     assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == sorted(expected)
     assert token_counts.count_tokens(frame(spark, []), DEFINITION).count() == 0
+
+
+def test_long_pre_tokens_equal_the_library_in_little_time():
+    import time
+
+    tokenizer, counter = Tokenizer.from_str(DEFINITION), token_counts.Counter(DEFINITION)
+    r = random.Random(11)
+    texts = ["a" * 3001, "ab" * 2000, "".join(r.choice("etaoinshrdlu") for _ in range(20_000)), "é" * 1500, "-=" * 900 + "!" * 700, "xyz" * 171 + " " * 600 + "q"]
+    assert counter(texts) == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [counter([t])[0] for t in texts] == counter(texts)
+    began = time.perf_counter()
+    counter(["".join(r.choice("etaoinshrdlu") for _ in range(1_000_000))])
+    assert time.perf_counter() - began < 30
+
+
+def test_unknown_vocabularies_raise():
+    import json
+
+    spec = json.loads(DEFINITION)
+    for key, value in (("pre_tokenizer", {"type": "Whitespace"}), ("normalizer", {"type": "NFC"})):
+        with pytest.raises(ValueError):
+            token_counts.Counter(json.dumps(spec | {key: value}))
