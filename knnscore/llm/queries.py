@@ -55,7 +55,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.round_trip(spark, table(spark, sf_dir, "pages"))
-    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    checked = F.when(F.col("digest_ok"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a digest doesn't fit the record of page "), F.col("page_id").cast("string"))))
+    return rows.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
 
 
 def op9_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

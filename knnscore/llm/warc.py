@@ -1,13 +1,14 @@
 """WARC archives: writing records with revisit de-duplication, and a sequential reader.
 
-Writing: one gzip member per record. Records are dealt by page id; each task writes archives of a bounded
-size under a temporary name and moves each into place, so a repeated task replaces its files by equal ones.
-Reading: archives are listed and read by Spark (``binaryFile``); inside the task one archive is inflated
-incrementally, member by member, framed by Content-Length, and its digests are verified.
+Writing: one gzip member per record. Records are dealt by page id; each task writes archives of a bounded size
+under names of its own attempt, and tells their paths as its rows. These rows, written as a table, are the
+manifest: it holds the archives of the attempts that Spark counts, so a repeated or speculative task, or one that
+died, adds no record. Reading: each archive of a manifest is opened in a task and inflated as it is read, chunk by
+chunk and member by member, framed by Content-Length; its digests are verified.
 
 Defined results: null html is an empty payload; a null page id is kept; repeated rows that tie for the
-smallest page id of a payload are all responses; an empty table gives no archive and no row; other columns
-of the input are ignored.
+smallest page id of a payload are all responses; an empty table gives no archive and no row; a very long page is
+one record, held whole by a task; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 import posixpath
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -25,11 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import new_path
+from ._shared import new_path, stored
 
 ARCHIVE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MANIFEST = "uri string, n_records long, n_bytes long"
 RECORD = "page_id long, record_type string, refers_to long, target_uri string, payload_bytes long, payload_digest string, payload binary, digest_ok boolean"
 
 
@@ -47,6 +50,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     records = pages.select("page_id", "url", payload.alias("payload"))
     ids = records.where(F.length("payload") >= least_bytes).select("page_id", F.unhex(F.sha1("payload")).alias("sha"))
     firsts = ids.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = stored(firsts.select("sha", "first"), "payloads")  # a join of two scans: adaptive execution splits a very common payload
     again = ids.join(firsts, "sha").where("NOT page_id <=> first").select(F.col("page_id").alias("again"), F.col("sha").alias("seen"), F.col("first").alias("refers_to")).distinct()
     joined = records.withColumn("sha", F.unhex(F.sha1("payload"))).join(
         again, F.expr("page_id <=> again AND sha = seen"), "left"
@@ -81,22 +85,21 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 
 def write_archives(records: DataFrame, uri: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes page_id, url, payload, refers_to rows below ``uri``; gives path, n_records, n_bytes of each archive when run."""
+    """Writes page_id, url, payload, refers_to rows below ``uri``; gives uri and n_records, n_bytes of each archive when run. To be run once, as the manifest's table."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(uri)
         task = TaskContext.get()
-        part, attempt = task.partitionId(), task.taskAttemptId()
         held: list[bytes] = []
         done: list[tuple[str, int, int]] = []
 
         def close() -> None:
-            name = posixpath.join(top, f"pages-{part:06d}-{len(done):05d}.warc.gz")
+            name = f"pages-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):05d}.warc.gz"
             store.create_dir(top, recursive=True)
-            with store.open_output_stream(f"{name}.{attempt}.partial") as out:
-                out.write(b"".join(held))
-            store.move(f"{name}.{attempt}.partial", name)
-            done.append((name, len(held), sum(map(len, held))))
+            with store.open_output_stream(posixpath.join(top, name), compression=None) as out:
+                for record in held:
+                    out.write(record)
+            done.append((f"{uri}/{name}", len(held), sum(map(len, held))))
             held.clear()
 
         size = 0
@@ -110,22 +113,21 @@ def write_archives(records: DataFrame, uri: str, archive_bytes: int = ARCHIVE_BY
         if held:
             close()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["path", "n_records", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["uri", "n_records", "n_bytes"])
 
-    return records.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "path string, n_records long, n_bytes long")
+    return records.select("page_id", "url", "payload", "refers_to").mapInArrow(write, MANIFEST)
 
 
-def members(data: memoryview, chunk: int = 1 << 16) -> Iterator[bytes]:
-    """Inflates one gzip member after the other, fed in chunks."""
-    at = 0
-    while at < len(data):
+def members(source: BinaryIO, chunk: int = 1 << 16) -> Iterator[bytes]:
+    """Inflates one gzip member after the other as the source is read."""
+    data = source.read(chunk)
+    while data:
         inflate, out = zlib.decompressobj(31), []
         while not inflate.eof:
-            if at >= len(data):
+            if not data:
                 raise ValueError("the archive ends inside a gzip member")
-            out.append(inflate.decompress(data[at : at + chunk]))
-            at += chunk
-        at = min(at, len(data)) - len(inflate.unused_data)
+            out.append(inflate.decompress(data))
+            data = inflate.unused_data or source.read(chunk)
         yield b"".join(out)
 
 
@@ -148,34 +150,32 @@ def parse_record(record: bytes) -> tuple:
     return number(fields["warc-record-id"]), kind, number(fields.get("warc-refers-to")), fields["warc-target-uri"], size, digest, payload if kind == "response" else None, good
 
 
-def read_archives(spark: SparkSession, uri: str, with_payload: bool = True) -> DataFrame:
-    """Rows of ``RECORD`` of every archive below ``uri``; a damaged frame raises, a wrong digest gives digest_ok = false."""
+def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
+    """Rows of ``RECORD`` of every archive (uri); a damaged frame raises, a wrong digest gives digest_ok = false."""
     schema = RECORD if with_payload else RECORD.replace("payload binary, ", "")
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[x.split()[1]] for x in schema.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            for content in batch.column(0):
-                rows, held = [], 0
-                for record in members(memoryview(content.as_buffer())):
-                    row = parse_record(record)
-                    rows.append(row if with_payload else row[:6] + row[7:])
-                    held += len(record) if with_payload else 64
-                    if held > 4_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(uri)
-    return files.select("content").mapInArrow(read, schema)
+            for uri in batch.column(0).to_pylist():
+                store, path = fs.FileSystem.from_uri(uri)
+                with store.open_input_stream(path, compression=None) as source:
+                    for record in members(source):
+                        row = parse_record(record)
+                        rows.append(row if with_payload else row[:6] + row[7:])
+                        held += len(record) if with_payload else 64
+                        if held > 4_000_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                            rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return archives.select("uri").repartition(max(1, archives.count())).mapInArrow(read, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes an archive record per page, then reads the archives back: one row per page."""
-    uri = new_path(spark, "warc")
-    write_archives(with_revisits(pages), f"{uri}/archives").write.parquet(f"{uri}/manifest")
-    if spark.read.schema("path string, n_records long, n_bytes long").parquet(f"{uri}/manifest").isEmpty():
-        return spark.createDataFrame([], RECORD.replace("payload binary, ", ""))
-    return read_archives(spark, f"{uri}/archives", with_payload=False)
+    archives = stored(write_archives(with_revisits(pages), new_path(spark, "warc")), "manifest")
+    return read_archives(archives, with_payload=False)
