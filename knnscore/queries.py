@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .operators import blocks, features, index, kmeans, search, vote
+from .session import shared_path
 
 DIMS, CLUSTERS, NPROBE, K = 64, 16, 4, 5
 FRAUD = "label >= 7"
@@ -76,6 +77,13 @@ def knn_dim0_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(search.first_dimension_pruned(rows, _quantised(_queries(spark, sf_dir)), DIMS, near=1.0))
 
 
+def knn_dim0_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through files that are sorted by the first dimension, of which ranges are skipped."""
+    path = shared_path(spark, "by-first-dimension")
+    search.sorted_by_first_dimension(_quantised(_rows(spark, sf_dir))).write.parquet(path)
+    return _ranks(search.first_dimension_pruned(spark.read.parquet(path), _quantised(_queries(spark, sf_dir)), DIMS, near=1.0))
+
+
 def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     return index.assign(rows, kmeans.first_rows(rows, CLUSTERS)).select(F.col("id").alias("vec_id"), "cluster_id")
@@ -94,6 +102,13 @@ def ivf_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.layout(_index(spark, sf_dir).lists).select("cluster_id", "pos", F.col("id").alias("vec_id"))
 
 
+def index_saved_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of an index that was written and read again, with its checks."""
+    path = shared_path(spark, "index")
+    index.save(_index(spark, sf_dir), path)
+    return index.layout(index.load(spark, path, DIMS).lists).select("cluster_id", "pos", F.col("id").alias("vec_id"), F.col("label").cast("long").alias("label"))
+
+
 def cluster_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _index(spark, sf_dir).clusters.select("cluster_id", F.posexplode(F.arrays_zip("low", "high")).alias("dim", "x"))
     return both.select("cluster_id", "dim", F.col("x.low").cast("int").alias("low"), F.col("x.high").cast("int").alias("high"))
@@ -167,6 +182,12 @@ def fraud_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir)
 
 
+def fraud_count_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The votes of the nearest rows by floats."""
+    queries = _queries(spark, sf_dir)
+    return vote.fraud_count(queries, search.exact(_rows(spark, sf_dir), queries, DIMS, carry=("label",)), FRAUD)
+
+
 def fraud_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vote.decide(_counts(spark, sf_dir)).select("query_id", "fraud_score")
 
@@ -254,8 +275,8 @@ def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        quantize_int8, dequantize, pair_l2sq_int8, knn_exact_int8, knn_exact_float, knn_dim0_pruned, ivf_assign, ivf_sizes_offsets, ivf_size_stats, ivf_layout,
-        cluster_bbox, bbox_lower_bound, bbox_pruning, ivf_probe, knn_ivf, knn_ivf_nprobe4, knn_ivf_nprobe1, ivf_recall, kmeans_one_step, kmeans_mass, kmeans_centroids, fraud_count,
+        quantize_int8, dequantize, pair_l2sq_int8, knn_exact_int8, knn_exact_float, knn_dim0_pruned, knn_dim0_store, ivf_assign, ivf_sizes_offsets, ivf_size_stats, ivf_layout, index_saved_lists,
+        cluster_bbox, bbox_lower_bound, bbox_pruning, ivf_probe, knn_ivf, knn_ivf_nprobe4, knn_ivf_nprobe1, ivf_recall, kmeans_one_step, kmeans_mass, kmeans_centroids, fraud_count, fraud_count_float,
         fraud_score, decision, decision_ivf, response_json, iso_parts, epoch_minutes, mcc_risk, merchant_known, feature_vector, score_requests,
     )
 }
@@ -300,6 +321,10 @@ SQL = {
     "knn_dim0_pruned": f"WITH {_NEAR} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, dist FROM near",
     "knn_exact_float": f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM (
   SELECT a.vec_id AS query_id, b.vec_id, {_DF.format("embedding", "embedding")} AS dist FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE rank <= 5""",
+    "knn_dim0_store": f"WITH {_NEAR} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, dist FROM near",
+    "index_saved_lists": f"WITH {_ASSIGN} SELECT CAST(cluster_id AS INTEGER) AS cluster_id, CAST(pos AS INTEGER) AS pos, vec_id, CAST(label AS BIGINT) AS label FROM lists",
+    "fraud_count_float": f"""SELECT query_id, count(*) FILTER (label >= 7) AS fraud_count FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, b.label, {_DF.format("embedding", "embedding")} AS dist FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE rank <= 5 GROUP BY query_id""",
     "ivf_assign": f"WITH {_ASSIGN} SELECT vec_id, CAST(cluster_id AS INTEGER) AS cluster_id FROM assigned",
     "ivf_sizes_offsets": f"""WITH {_ASSIGN} SELECT CAST(cluster_id AS INTEGER) AS cluster_id, size,
   CAST(coalesce(sum(size) OVER (ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM sizes""",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,14 @@ def session(name: str = "knnscore", master: str | None = None, **conf: str) -> S
         **{k.replace("_", "."): v for k, v in conf.items()},
     }
     return builder.config(map=settings).getOrCreate()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share. Where that is unset, a local session gets a temporary one and a cluster an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='knnscore-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
