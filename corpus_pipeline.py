@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and all but the last return the
 columns of documents. ``run`` writes each stage's rows to the shared folder and reads them for the next.
-Rows with a null id pass the stages that look documents up by id unchanged.
+Rows with a null id pass the stages that look documents up by id unchanged. Null and empty texts go in the first stage
+(fewer than 50 words); repeated rows of one id are one document, of which the second stage keeps one row; ties go to the
+smaller id; very long texts are handled whole; columns that documents don't have are left out before the first stage;
+an empty table gives an empty result. Each operator's module states these cases for itself.
 """
 
 from __future__ import annotations
