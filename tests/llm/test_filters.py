@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -107,6 +109,51 @@ def test_classifier_on_small_tables(spark):
     assert {r.predicted for r in quality_classifier.score(docs, one).collect()} == {1}
 
 
+def plain_statistics(text):
+    """The statistics of a text in plain Python."""
+    text = text or ""
+    space = "[^ \\t\\n\\x0b\\f\\r]+"
+    words, chars = len(re.findall(space, text)), len(text)
+    held = lambda letters: sum(c in letters for c in text)
+    lines, own = text.split("\n"), re.split("[ \\t\\n\\x0b\\f\\r]+", text.lower())
+    over = lambda a, b: a / max(b, 1)
+    return {
+        "log_words": math.log1p(words),
+        "word_length": over(chars, words),
+        "upper_share": over(sum(unicodedata.category(c) == "Lu" for c in text), chars),
+        "symbol_share": over(held("#*$%&|<>{}[]\\^~_=+@"), chars),
+        "digit_share": over(held("0123456789"), chars),
+        "mark_share": over(held(".,;:!?"), words),
+        "bang_share": over(held("!"), words),
+        "bar_share": over(held("|"), words),
+        "line_words": over(words, len(lines)),
+        "own_line_share": over(len(set(lines)), len(lines)),
+        "own_word_share": over(len(set(own)), words),
+    }
+
+
+def test_scores_equal_rules_in_plain_python(spark):
+    """Every rule of the fitted ensemble, row by row, against the column expressions."""
+    good = [(i, prose(i, 40 + i % 50)) for i in range(90)]
+    bad = [(i, (prose(i, 30) + "\n") * 2 + "BUY | NOW!! " * (i % 9)) for i in range(90, 170)]
+    docs = frame(spark, [*good, *bad, *[(i and i + 1000, t) for i, t in awkward()]])
+    labels = spark.createDataFrame([(i, int(i < 90)) for i in range(170)], "doc_id long, quality int")
+    ensemble = quality_classifier.fit(docs, labels)
+    assert len(ensemble.rules) > 2
+    texts = {i: t for i, t in [*good, *bad, *[(i and i + 1000, t) for i, t in awkward()]]}
+    seen = set()
+    for r in quality_classifier.score(docs, ensemble).collect():
+        values, total = plain_statistics(texts[r.doc_id]), ensemble.intercept
+        for n, (rule, weight) in enumerate(ensemble.rules):
+            holds = all(values[name] > bound if above else values[name] <= bound for name, above, bound in rule.terms)
+            seen.add((n, holds))
+            total += weight * holds
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9), r.doc_id
+        assert r.predicted == int(r.score >= 0.5)
+    assert len(seen) > len(ensemble.rules)  # rules that hold and that don't
+    assert quality_classifier.score(docs.limit(0), ensemble).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_classifier_orders_held_out_documents(spark):
     scores = QUERIES["op4_quality_classifier"](spark, "/root/testdata/sf0.01")
