@@ -1,20 +1,25 @@
 """SentencePiece encoding and decoding as shortest paths through a weighted finite-state transducer.
 
-Compiled once from the model file: the normaliser (white space to its mark, dummy prefix), one arc per piece,
-and byte fallback, which emits the byte pieces of a character that no piece covers. An input is composed with
-the transducer by walking its positions, and the tropical (min, +) shortest path gives the pieces.
+Compiled once from the model file into arrays: the normaliser (what each state writes for a space and for other
+bytes), the trie of the pieces (one arc for each state and symbol, a state's piece as its output), and byte fallback,
+arcs over one character that no piece covers, whose output is its byte pieces. A batch of words is composed with them
+at once: from every position the trie is walked along the text, which gives a lattice of arcs (begin, end, piece).
+Shortest paths come from one pass over the lattice in the order of ends, in the tropical (min, +) semiring.
 
 Unigram models weigh an arc by minus its piece's score. Byte-pair models have no additive weights; there the
 state also remembers the last piece, and an arc weighs 0 if the two pieces may stand side by side, infinity
 otherwise. They may if merging their joined text in score order never merges across the boundary. Exactly one
 path has weight 0, and it is the library's result (a merge across a boundary depends on nothing outside the
-two pieces). Both kinds are tested against the library.
+two pieces). As the same holds for each prefix, one last piece a position has a finite weight and is kept.
+Both kinds are tested against the library.
 
-As no piece has a character before a white-space mark, the input is composed word by word, and words that a
-task has seen are kept.
+As no piece has a character before a white-space mark, the input is composed word by word; each different word of a
+batch is composed once, and words that a task has seen are kept.
 
-Defined results: null and empty texts have no pieces; decoding turns white-space marks that stand in the text
-itself into spaces; repeated rows give repeated results; other columns are ignored.
+Defined results: null and empty texts have no pieces; very long texts, also without a space, are composed whole, in
+windows of bounded memory; decoding turns white-space marks that stand in the text itself into spaces; repeated rows
+give repeated results; equal weights go to the arc that begins first; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +27,15 @@ from __future__ import annotations
 import gc
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import chain
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._shared import pieces
@@ -36,12 +43,25 @@ from ._shared import pieces
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: kinds of pieces in model files
 UNIGRAM, BPE = 1, 2
-KEPT_WORDS, KEPT_PAIRS, LONG = 500_000, 500_000, 64
+KEPT_WORDS, KEPT_PAIRS, LONG, WINDOW = 500_000, 500_000, 64, 50_000
 INFINITY = float("inf")
 END = (-INFINITY, "", "")
+BREAK = 0x110000  # stands after each word; no character has this number
+SPACE = 32  # stands for the white-space mark inside
 ENCODED = "doc_id long, n_chars long, n_pieces long, ids array<int>, round_trip boolean"
 
 
+def texts_of(data: np.ndarray, bounds: np.ndarray) -> pa.StringArray:
+    return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data))
+
+
+def bytes_of(texts: pa.StringArray | pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column without nulls, and where each value begins."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    return data, bounds - bounds[0]
+
+
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
     """Field numbers and raw values of a protocol-buffer message."""
     at = 0
@@ -89,149 +109,227 @@ class Transducer:
                     raise ValueError("only normalisers without a character map are compiled")
         if self.type not in (UNIGRAM, BPE) or {USER, UNUSED} & {*self.kinds}:
             raise ValueError("only unigram and byte-pair models without user-defined or unused pieces are compiled")
-        self.ids = {t: i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k == NORMAL}
-        self.score = {t: self.scores[i] for t, i in self.ids.items()}
-        self.bytes = {int(t[1:-1], 16): i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k == BYTE}
-        self.out = [bytes([int(t[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else t.replace(MARK, " ").encode() for t, k in zip(self.texts, self.kinds, strict=True)]
-        self.longest = max(map(len, self.ids), default=1)
-        self.tails: dict[str, int] = {}  # of the last two characters of pieces: the longest such piece
-        for t in self.ids:
-            self.tails[t[-2:]] = max(len(t), self.tails.get(t[-2:], 0))
-        self.unknown_weight = 10 - min(self.score.values(), default=0)
-        by_word = not any(re.search(f"[^{MARK}]{MARK}", t) for t in self.ids)
-        self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if by_word else "(?s).+")
-        self.derived: dict[str, tuple | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        numbered = list(zip(self.texts, self.kinds, strict=True))
+        self.bytes = {int(t[1:-1], 16): i for i, (t, k) in enumerate(numbered) if k == BYTE}
+        self.out = [bytes([int(t[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else t.replace(MARK, " ").encode() for t, k in numbered]
+        self.written = pa.array(self.out, pa.binary())
+        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", t) for t, k in numbered if k == NORMAL)
+        self.texts = [t.replace(MARK, " ") for t in self.texts]
+        self.score = {t: s for t, s, k in zip(self.texts, self.scores, self.kinds, strict=True) if k == NORMAL}
+        self.sizes = [len(t) for t in self.texts]
+        self.first_character = len(self.texts)  # labels from here on are characters that no piece covers
+        self.start = self.first_character + BREAK  # the label before a word
+        self.compile_normaliser()
+        self.compile_pieces()
+        self.derived: dict[int, tuple | None] = {}
+        self.pairs: dict[int, float] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
-        if not text:
-            return ""
-        return (MARK if self.prefix else "") + text.replace(" ", MARK)
-
-    def derive(self, text: str) -> tuple | None:
+    def compile_normaliser(self) -> None:
+        """Arcs by [state, is a space]: how many marks they write first, and whether they copy the byte. States: nothing written yet, after other bytes, after a space."""
+        prefix = int(self.prefix)
+        if self.squeeze:  # a run of spaces writes one mark, before what follows it
+            self.marks = np.array([[prefix, 0], [0, 0], [1, 0]])
+            self.copies = np.array([[1, 0], [1, 0], [1, 0]])
+        else:
+            self.marks = np.array([[prefix, prefix], [0, 0], [0, 0]])
+            self.copies = np.ones((3, 2), np.int64)
+
+    def compile_pieces(self) -> None:
+        """The trie as sorted keys (state x symbols + symbol), where each arc leads, and the piece and weight of each state and label."""
+        self.alphabet = np.array(sorted({ord(c) for t in self.score for c in t} or {SPACE}), np.int64)
+        symbols = {chr(c): i for i, c in enumerate(self.alphabet, 1)}
+        arcs: dict[int, int] = {}
+        ends = {}
+        self.n_symbols = len(symbols) + 1
+        for i, (text, kind) in enumerate(zip(self.texts, self.kinds, strict=True)):
+            if kind == NORMAL:
+                state = 0
+                for c in text:
+                    state = arcs.setdefault(state * self.n_symbols + symbols[c], len(arcs) + 1)
+                ends[state] = i
+        self.arc_key = np.array(sorted(arcs) or [-1], np.int64)
+        self.arc_to = np.array([arcs.get(k, 0) for k in self.arc_key.tolist()], np.int64)
+        self.piece = np.full(len(arcs) + 1, -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
+        self.longest = max(map(len, self.score), default=1)
+        self.piece_weight = -np.array(self.scores or [0.0])
+        self.fallback_weight = 10 - min(self.score.values(), default=0)
+
+    def normalise(self, texts: pa.StringArray) -> pa.StringArray:
+        """Texts without nulls composed with the normaliser; marks are written as spaces."""
+        data, bounds = bytes_of(texts)
+        space = data == SPACE
+        begins = np.repeat(bounds[:-1], np.diff(bounds))
+        moves = ~space if self.squeeze else np.ones(len(data), bool)
+        moved = np.r_[0, np.cumsum(moves)]
+        state = np.where(moved[:-1] == moved[begins], 0, 1 + np.r_[False, space[:-1]])
+        marks, copies = self.marks[state, space.astype(np.int64)], self.copies[state, space.astype(np.int64)]
+        ends = np.r_[0, np.cumsum(marks + copies)]
+        written = np.full(ends[-1], SPACE, np.uint8)
+        copied = copies > 0
+        written[ends[1:][copied] - 1] = data[copied]
+        return pc.replace_substring(texts_of(written, ends[bounds]), MARK, " ")
+
+    def text_of(self, label: int) -> str:
+        return self.texts[label] if label < self.first_character else chr(label - self.first_character)
+
+    def derive(self, label: int) -> tuple | None:
         """How merging makes a piece of its characters: (score, leftmost part, rightmost part) after each merge; None if it doesn't."""
-        parts, steps, score = list(text), [], self.score
+        if label in self.derived:
+            return self.derived[label]
+        parts, steps, score = list(self.text_of(label)), [], self.score
         while len(parts) > 1:
             best, at = max((score.get(a + b, -INFINITY), -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
             if best == -INFINITY:
                 break
             parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
             steps.append((best, parts[0], parts[-1]))
-        self.derived[text] = out = (*steps, END) if len(parts) == 1 else None
+        self.derived[label] = out = (*steps, END) if len(parts) == 1 else None
         return out
 
-    def adjacent(self, a: str, b: str) -> bool:
-        """Whether merging the joined text of two pieces leaves exactly these two."""
-        left, right, x, y, score = iter(self.derived[a]), iter(self.derived[b]), a[-1], b[0], self.score
+    def side_by_side(self, before: int, label: int) -> float:
+        """The weight of a byte-pair model's arc after another: 0 if merging the joined text of both leaves exactly these two, else infinity."""
+        steps = self.derive(label)
+        fits = steps is not None and (before == self.start or self.adjacent(before, label))
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        self.pairs[before * (self.start + 1) + label] = weight = 0.0 if fits else INFINITY
+        return weight
+
+    def adjacent(self, a: int, b: int) -> bool:
+        left, right, x, y, score = iter(self.derive(a)), iter(self.derive(b)), self.text_of(a)[-1], self.text_of(b)[0], self.score
         (here, _, next_x), (there, next_y, _) = next(left), next(right)
-        fits = True
         while True:
             across = score.get(x + y)
             if across is not None and across > here and across >= there:  # of equals the leftmost is first
-                fits = False
-                break
+                return False
             if here >= there:
                 if here == -INFINITY:
-                    break
+                    return True
                 x = next_x
                 here, _, next_x = next(left)
             else:
                 y = next_y
                 there, next_y, _ = next(right)
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
-        self.pairs[a, b] = fits
-        return fits
-
-    def only_path(self, word: str, arc: list[str], done: int) -> list[str]:
-        """The labels along the one path of weight 0 of a byte-pair model: each position is reached by one arc. arc: holds those of the first ``done`` positions."""
-        del arc[done + 1 :]
-        arc += [""] * (len(word) - done)
-        derived, pairs, score, tails = self.derived, self.pairs, self.score, self.tails
-        for end in range(done + 1, len(word) + 1):
-            for start in range(max(0, end - tails.get(word[max(0, end - 2) : end], 1)), end):
-                label = word[start:end]
-                if label in score:
-                    if (derived[label] if label in derived else self.derive(label)) is None:
-                        continue
-                elif end - start > 1:
-                    continue
-                elif label not in derived:
-                    derived[label] = (END,)
-                if start:
-                    before = arc[start]
-                    fits = pairs.get((before, label))
-                    if not (self.adjacent(before, label) if fits is None else fits):
-                        continue
-                arc[end] = label
+
+    def lattice(self, codes: np.ndarray, symbols: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, ...]:
+        """The input composed with pieces and fallback: (begin, end, label, weight) of all arcs that end in (begin, end], by end, then begin."""
+        first = max(0, begin + 1 - self.longest)
+        at, state = np.arange(first, end), np.zeros(end - first, np.int64)
+        uncovered = codes[first:end] != BREAK
+        arcs = []
+        for depth in range(self.longest):
+            key = state * self.n_symbols + symbols[at + depth]
+            arc = np.minimum(np.searchsorted(self.arc_key, key), len(self.arc_key) - 1)
+            on = self.arc_key[arc] == key
+            at, state = at[on], self.arc_to[arc[on]]
+            label = self.piece[state]
+            final = label >= 0
+            arcs.append((at[final], at[final] + depth + 1, label[final], self.piece_weight[label[final]]))
+            if depth == 0:
+                uncovered[at[final] - first] = False
+            inside = at + depth + 1 < end
+            at, state = at[inside], state[inside]
+            if not len(at):
                 break
-        return self.labels(arc)
-
-    @staticmethod
-    def labels(arc: list[str]) -> list[str]:
-        path, end = [], len(arc) - 1
-        while end:
-            label = arc[end]
-            path.append(label)
-            end -= len(label)
-        path.reverse()
-        return path
-
-    def shortest_path(self, word: str) -> list[str]:
-        """The arcs' input labels along the path of least weight."""
-        weight, arc = [0.0] + [INFINITY] * len(word), [""] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                label = word[start:end]
-                if label in self.score:
-                    total = weight[start] - self.score[label]
-                elif end - start == 1:
-                    total = weight[start] + self.unknown_weight
-                else:
-                    continue
+        lone = np.flatnonzero(uncovered) + first
+        arcs.append((lone, lone + 1, self.first_character + codes[lone], np.full(len(lone), self.fallback_weight)))
+        begins, ends, labels, weights = map(np.concatenate, zip(*arcs, strict=True))
+        order = np.lexsort((begins, ends))
+        order = order[np.searchsorted(ends[order], begin, "right") :]
+        return begins[order], ends[order], labels[order], weights[order]
+
+    def shortest_paths(self, words: list[str]) -> Iterator[list[int]]:
+        """The labels along each word's path of least weight. Words stand one after the other, a break behind each, which no arc crosses."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        breaks = np.cumsum(sizes + 1) - 1
+        codes = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes[breaks] = BREAK
+        symbols = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        symbols = np.where(self.alphabet[symbols] == codes, symbols + 1, 0)
+        least, last = np.full(len(codes), INFINITY), np.full(len(codes), self.start)
+        least[breaks - sizes] = 0
+        weight, label_of = array("d", least.tobytes()), array("q", last.astype(np.int64).tobytes())
+        pairwise, pairs, n_labels = self.type == BPE, self.pairs, self.start + 1
+        for begin in range(0, len(codes), WINDOW):
+            arcs = self.lattice(codes, symbols, begin - 1, min(begin + WINDOW, len(codes)) - 1)
+            for start, end, label, more in zip(*[x.tolist() for x in arcs], strict=True):
+                if pairwise:
+                    if weight[end] == 0:  # no path weighs less
+                        continue
+                    before = label_of[start]
+                    more = pairs.get(before * n_labels + label)
+                    if more is None:
+                        more = self.side_by_side(before, label)
+                total = weight[start] + more
                 if total < weight[end]:
-                    weight[end], arc[end] = total, label
-        return self.labels(arc)
-
-    def emit(self, path: list[str]) -> tuple[int, ...]:
+                    weight[end] = total
+                    label_of[end] = label
+        lengths, first_character = self.sizes, self.first_character
+        for start, end in zip((breaks - sizes).tolist(), breaks.tolist(), strict=True):
+            path = []
+            while end > start:
+                label = label_of[end]
+                path.append(label)
+                end -= lengths[label] if label < first_character else 1
+            path.reverse()
+            yield path
+
+    def emit(self, path: list[int]) -> tuple[int, ...]:
         """The output labels of a path: pieces, the bytes of other characters, or one unknown piece for a run of them."""
-        try:
-            return tuple([self.ids[label] for label in path])
-        except KeyError:
-            out: list[int] = []
+        if max(path, default=0) < self.first_character:
+            return tuple(path)
+        out: list[int] = []
         for label in path:
-            if label in self.ids:
-                out.append(self.ids[label])
+            if label < self.first_character:
+                out.append(label)
             elif self.fallback:
-                out += [self.bytes[b] for b in label.encode()]
+                out += [self.bytes[b] for b in self.text_of(label).replace(" ", MARK).encode()]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return tuple(out)
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Pieces of each text. Words not seen yet are composed in order, so that one takes over the path of the prefix it shares with the last."""
+    def words(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """The words of normalised texts, in order, and the number of words before each text. A word is a run of marks and what follows to the next mark."""
+        data, bounds = bytes_of(texts)
+        begins = np.zeros(len(data) + 1, bool)
+        if self.by_word:
+            space = data == SPACE
+            begins[1:-1] = space[1:] & ~space[:-1]
+        begins[bounds] = True
+        at = np.flatnonzero(begins)
+        return texts_of(data, at), np.searchsorted(at, bounds)
+
+    def encode_column(self, texts: pa.StringArray) -> pa.ListArray:
+        """Pieces of normalised texts."""
+        words, bounds = self.words(texts)
+        words = words.dictionary_encode()
+        different = words.dictionary.to_pylist()
         if len(self.known) >= KEPT_WORDS:
             self.known.clear()
-        split = [self.words.findall(self.normalise(t or "")) for t in texts]
-        arc, last = [""], ""
-        fresh = sorted(set(chain.from_iterable(split)) - self.known.keys())
-        for word in fresh:
-            if self.type == BPE:
-                done, most = 0, min(len(last), len(word))
-                while done < most and last[done] == word[done]:
-                    done += 1
-                self.known[word] = self.emit(self.only_path(word, arc, done))
-                last = word
-            else:
-                self.known[word] = self.emit(self.shortest_path(word))
-        paths = [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
+        fresh = [x for x in different if x not in self.known]
+        self.known.update(zip(fresh, map(self.emit, self.shortest_paths(fresh)), strict=True))
+        paths = list(map(self.known.__getitem__, different))
         for word in fresh:
             if len(word) > LONG:  # not worth their memory
                 del self.known[word]
-        return paths
+        sizes = np.fromiter(map(len, paths), np.int64, len(paths))
+        flat = pa.array(np.fromiter(chain.from_iterable(paths), np.int32, sizes.sum()))
+        of_word = words.indices.to_numpy()
+        ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat).take(words.indices)
+        before = np.r_[0, np.cumsum(sizes[of_word])]
+        return pa.ListArray.from_arrays(pa.array(before[bounds].astype(np.int32)), ids.flatten())
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """Pieces of each text."""
+        return self.encode_column(self.normalise(pa.array([t or "" for t in texts], pa.string()))).to_pylist()
+
+    def round_trips(self, ids: pa.ListArray, normalised: pa.StringArray) -> pa.BooleanArray:
+        """Whether the pieces of each text write exactly the normalised text."""
+        data, ends = bytes_of(self.written.take(ids.flatten()))
+        bounds = ends[ids.offsets.to_numpy()]
+        return pc.equal(texts_of(data, bounds).view(pa.binary()), normalised.view(pa.binary()))
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode(errors="replace")
@@ -261,14 +359,12 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(sent.value)
         for batch in pieces(batches, "text"):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+            texts = pc.fill_null(batch.column("text"), "")
+            normalised = machine.normalise(texts)
             with no_cycles():
-                paths = machine.encode(texts)
-            same = [machine.decode(p) == machine.normalise(x).replace(MARK, " ").removeprefix(" " if machine.prefix else "") for p, x in zip(paths, texts, strict=True)]
-            sizes = np.array(list(map(len, paths)), np.int64)
-            flat = np.fromiter(chain.from_iterable(paths), np.int32, sizes.sum())
-            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(sizes), ids, pa.array(same)], names=[x.split()[0] for x in ENCODED.split(", ")])
+                ids = machine.encode_column(normalised)
+            columns = [batch.column("doc_id"), pc.utf8_length(texts).cast(pa.int64()), pc.list_value_length(ids).cast(pa.int64()), ids, machine.round_trips(ids, normalised)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in ENCODED.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
 
