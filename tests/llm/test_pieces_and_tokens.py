@@ -46,22 +46,50 @@ def field(number, value):
     return varint(number << 3 | 2) + varint(len(value)) + value
 
 
-def unigram_model(fallback):
+def unigram_model(fallback, squeeze=0):
     scores = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -2.75, "▁a": -3.5, "bab": -4.25, "c": -3.0, "abc": -6.0, "▁abab": -8.5}
     pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
     pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []
     pieces += [(t, s, 1) for t, s in scores.items()]
     model = b"".join(field(1, field(1, t.encode()) + field(2, s) + field(3, k)) for t, s, k in pieces)
     trainer = field(3, 1) + (field(35, 1) if fallback else b"")
-    return model + field(2, trainer) + field(3, field(1, b"identity") + field(2, b"") + field(3, 1) + field(4, 0) + field(5, 1))
+    return model + field(2, trainer) + field(3, field(1, b"identity") + field(2, b"") + field(3, 1) + field(4, squeeze) + field(5, 1))
+
+
+def test_long_words_go_through_windows(monkeypatch):
+    r = random.Random(7)
+    texts = ["".join(r.choice("etaoinshrdlu日é🎉") for _ in range(n)) for n in (3, 900, 49, 51, 1)] + [prose(2, 300)]
+    processor = library.SentencePieceProcessor(model_proto=MODEL)
+    for window in (1, 7, 50):
+        monkeypatch.setattr(sentencepiece, "WINDOW", window)
+        assert sentencepiece.Transducer(MODEL).encode(texts) == processor.encode(texts)
+
+
+def test_paths_are_the_least_of_all_paths():
+    """Every way to cut a word is weighed on the model with additive weights."""
+    machine = sentencepiece.Transducer(unigram_model(False))
+
+    def least(word):
+        if not word:
+            return 0.0
+        ways = [least(word[i:]) - machine.score[word[:i]] for i in range(1, len(word) + 1) if word[:i] in machine.score]
+        return min([*ways, least(word[1:]) + machine.fallback_weight] if word[0] not in machine.score else ways)
+
+    r = random.Random(11)
+    words = ["".join(r.choice("abcx") for _ in range(r.randint(1, 9))) for _ in range(80)]
+    for word, path in zip(words, machine.shortest_paths(words), strict=True):
+        assert "".join(map(machine.text_of, path)) == word
+        weight = sum(-machine.scores[x] if x < machine.first_character else machine.fallback_weight for x in path)
+        assert weight == pytest.approx(least(word))
 
 
 @pytest.mark.parametrize("fallback", [True, False])
-def test_unigram_paths_equal_the_library(fallback):
-    model = unigram_model(fallback)
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_unigram_paths_equal_the_library(fallback, squeeze):
+    model = unigram_model(fallback, squeeze)
     machine, processor = sentencepiece.Transducer(model), library.SentencePieceProcessor(model_proto=model)
     r = random.Random(3)
-    texts = ["".join(r.choice("aabbc ") for _ in range(r.randint(0, 25))) for _ in range(200)] + ["xyz ab", "é"]
+    texts = ["".join(r.choice("aabbc ") for _ in range(r.randint(0, 25))) for _ in range(200)] + ["xyz ab", "é", "  a  b ", "   ", "a ▁ b"]
     assert machine.encode(texts) == processor.encode(texts)
 
 
