@@ -8,8 +8,10 @@ that it anchors in one place; runs are named by two 64-bit hashes (anchor, whole
 
 1. Each task finds its runs. Of equal runs within a task's texts, those of a larger document are settled at
    once. The others go, packed, to buckets of anchors: no anchor has more than a task's number of rows there.
-2. A bucket settles runs equal to one of a smaller document. What is left are runs of different content that
-   share an anchor, of whose strings some may be equal. Equal strings share, next to the anchor's 16 bytes, 17 on
+   The number of buckets follows the bytes of all texts, so that one holds about the runs of ``BUCKET`` bytes of
+   text however large the table is.
+2. Tasks take their buckets in order, one at a time, and settle runs equal to one of a smaller document. What is left
+   are runs of different content that share an anchor, of whose strings some may be equal. Equal strings share, next to the anchor's 16 bytes, 17 on
    its left or on its right; runs that share neither 16 with another document are dropped.
 3. The bytes of those are fetched and sorted, bucket by bucket, by the difference-cover algorithm (sampled
    triples, names, recursion, merge) as far as 50 bytes; adjacent suffixes are compared, and in each group of
@@ -47,6 +49,8 @@ CACHED = 1 << 15  # positions handled at once
 HELD_RUNS = 1_000_000
 HOT = 500  # runs of one anchor; more are dealt string by string
 BLOCK = 1_000_000  # bytes sorted at once, or those of one anchor
+BUCKET = 16_000_000  # bytes of text whose runs make a bucket
+MOST_TASKS = 20_000  # buckets beyond this number share tasks
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 RUN = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "u1"), ("left", "<u2"), ("right", "<u2")])
 
@@ -206,29 +210,47 @@ def find_runs(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, MESSAGE)
 
 
-def settle_buckets(messages: DataFrame) -> DataFrame:
+UNSETTLED = "anchor long, doc long, start long, end long, hot boolean"
+
+
+def _unsettled(anchor: np.ndarray | None, doc: np.ndarray, start: np.ndarray, end: np.ndarray, hot: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of runs, or of settled spans (no anchor)."""
+    n = len(doc)
+    names = [pa.nulls(n, pa.int64()) if anchor is None else pa.array(anchor.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in (doc, start, end))]
+    return pa.RecordBatch.from_arrays([*names, pa.array(np.zeros(n, bool) if hot is None else hot)], names=["anchor", "doc", "start", "end", "hot"])
+
+
+def settle_buckets(messages: DataFrame, n_buckets: int) -> DataFrame:
     """Step 2: doc, start, end of settled spans (anchor null), and of unsettled runs with their anchor."""
 
-    def settle(table: pa.Table) -> pa.Table:
-        settled = table.filter(pc.is_null(table.column("data")))
-        found, _, larger = by_content(unpacked(table.column("data").drop_null().to_pylist()))
+    def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        found, _, larger = by_content(unpacked(blobs))
         gone, left = found[larger], found[~larger]
         left = left[shared(left, "left") | shared(left, "right")]
         first = np.flatnonzero(np.r_[True, left["anchor"][1:] != left["anchor"][:-1]]) if len(left) else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[first, len(left)])
-        hot = np.repeat(sizes > HOT, sizes)
-        doc, start, end = span_batch(gone["doc"], gone["start"], gone["n"])
-        doc, start, end = (np.r_[settled.column(k).to_numpy(), x] for k, x in (("doc", doc), ("start", start), ("end", end)))
-        columns = [
-            pa.array(np.r_[np.zeros(len(doc), np.int64), left["anchor"].view(np.int64)], mask=np.r_[np.ones(len(doc), bool), np.zeros(len(left), bool)]),
-            pa.array(np.r_[doc, left["doc"]]),
-            pa.array(np.r_[start, left["start"].astype(np.int64)]),
-            pa.array(np.r_[end, left["start"].astype(np.int64) + left["n"]]),
-            pa.array(np.r_[np.zeros(len(doc), bool), hot]),
-        ]
-        return pa.Table.from_arrays(columns, names=["anchor", "doc", "start", "end", "hot"])
+        yield _unsettled(None, *span_batch(gone["doc"], gone["start"], gone["n"]))
+        yield _unsettled(np.ascontiguousarray(left["anchor"]), left["doc"], left["start"], left["start"].astype(np.int64) + left["n"], np.repeat(sizes > HOT, sizes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of their buckets, of which one is held."""
+        held: list[bytes] = []
+        last = None
+        for batch in batches:
+            known = batch.filter(pc.is_null(batch.column("data")))
+            yield _unsettled(None, *(known.column(k).to_numpy() for k in ("doc", "start", "end")))
+            batch = batch.filter(pc.is_valid(batch.column("data")))
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if held and bucket != last:
+                    yield from settle(held)
+                    held = []
+                held.append(blob)
+                last = bucket
+        if held:
+            yield from settle(held)
 
-    return messages.groupBy("bucket").applyInArrow(settle, "anchor long, doc long, start long, end long, hot boolean")
+    n_tasks = min(n_buckets, MOST_TASKS)
+    return messages.repartitionById(n_tasks, F.col("bucket") % n_tasks).sortWithinPartitions("bucket").mapInArrow(run, UNSETTLED)
 
 
 def apart(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, data: list[bytes]) -> tuple[list, ...]:
@@ -324,9 +346,10 @@ def settle_runs(fetched: DataFrame, n_buckets: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc, start, end: byte spans to remove; those of a document may overlap."""
-    n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = stored(settle_buckets(find_runs(docs, n_buckets)), "buckets")
-    left = settle_runs(fetch(docs, buckets.where("anchor IS NOT NULL")), n_buckets)
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // BUCKET))
+    buckets = stored(settle_buckets(find_runs(docs, n_buckets), n_buckets), "buckets")
+    left = settle_runs(fetch(docs, buckets.where("anchor IS NOT NULL")), min(n_buckets, MOST_TASKS))
     return buckets.where("anchor IS NULL").select("doc", "start", "end").union(left)
 
 

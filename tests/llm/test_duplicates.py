@@ -66,10 +66,10 @@ def brute_cut(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("held", "hot"), [(1_000_000, 500), (50, 500), (1000, 2), (1000, 0)])
-def test_repeated_strings_are_cut_as_by_brute_force(spark, monkeypatch, held, hot):
-    monkeypatch.setattr(byte_dedup, "HELD_RUNS", held)
-    monkeypatch.setattr(byte_dedup, "HOT", hot)
+@pytest.mark.parametrize(("held", "hot", "bucket", "tasks"), [(1_000_000, 500, 16_000_000, 20_000), (50, 500, 16_000_000, 20_000), (1000, 2, 10_000, 20_000), (1000, 0, 500, 3)])
+def test_repeated_strings_are_cut_as_by_brute_force(spark, monkeypatch, held, hot, bucket, tasks):
+    for name, value in (("HELD_RUNS", held), ("HOT", hot), ("BUCKET", bucket), ("MOST_TASKS", tasks)):  # also many buckets, and several of them a task
+        monkeypatch.setattr(byte_dedup, name, value)
     rows = varied()
     got = byte_dedup.cut(frame(spark, rows).repartition(3)).collect()
     expected = brute_cut(rows)
