@@ -48,7 +48,7 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 CACHED = 1 << 15  # positions handled at once
 HELD_RUNS = 1_000_000
 HOT = 500  # runs of one anchor; more are dealt string by string
-BLOCK = 1_000_000  # bytes sorted at once, or those of one anchor
+BLOCK = 250_000  # bytes sorted at once, or those of one anchor
 BUCKET = 16_000_000  # bytes of text whose runs make a bucket
 MOST_TASKS = 20_000  # buckets beyond this number share tasks
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -20,7 +20,7 @@ def names_of(*keys: np.ndarray) -> tuple[np.ndarray, int]:
         packed = packed * wide + k
     else:
         keys = (packed,)
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(packed, kind="stable")
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(packed)
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
@@ -33,7 +33,7 @@ def names_of(*keys: np.ndarray) -> tuple[np.ndarray, int]:
 def suffix_array(symbols: np.ndarray, prefix: int, covered: int = 1) -> np.ndarray:
     """Starts of the suffixes in an order of their first ``prefix`` units; of equal prefixes in any order.
 
-    symbols: positive; each stands for ``covered`` units.
+    symbols: positive, bytes or dense names, so that one and a rank fit 62 bits; each stands for ``covered`` units.
     """
     n = len(symbols)
     if n < 4 or covered >= prefix:
@@ -47,21 +47,22 @@ def suffix_array(symbols: np.ndarray, prefix: int, covered: int = 1) -> np.ndarr
         order = suffix_array(names, prefix, 3 * covered)
         names = np.empty(len(cover), np.int64)
         names[order] = np.arange(1, len(order) + 1)
+    else:
+        order = np.argsort(names)
     rank = np.zeros(n + 3, np.int64)
     rank[cover] = names
-    sampled = cover[np.argsort(names, kind="stable")]
+    sampled = cover[order]
     sampled = sampled[sampled < n]
     zero = np.arange(0, n, 3)
     wide = int(rank.max()) + 2
-    zero = zero[np.argsort(s[zero] * wide + rank[zero + 1], kind="stable")]
+    zero = zero[np.argsort(s[zero] * wide + rank[zero + 1])]
     # how many sampled suffixes are smaller than each of the others, by class of position
-    alphabet, _ = names_of(s)
-    pair = lambda at: alphabet[at] * wide + rank[at + 1]
-    triple = lambda at: (alphabet[at] * (len(alphabet) + 2) + alphabet[at + 1]) * wide + rank[at + 2]
+    most = int(s.max()) + 1
+    pair = lambda at: s[at] * wide + rank[at + 1]
+    triple = lambda at: (s[at] * most + s[at + 1]) * wide + rank[at + 2]
     ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
-    triple_fits = (len(alphabet) + 2) ** 2 * wide < 1 << 62
-    if not triple_fits:
-        top, _ = names_of(alphabet[:n], alphabet[1 : n + 1])
+    if most * most * wide >= 1 << 62:
+        top, _ = names_of(s[:n], s[1 : n + 1])
         top = np.r_[top, 0, 0]
         triple = lambda at: top[at] * wide + rank[at + 2]
     smaller = np.searchsorted(pair(ones), pair(zero)) + np.searchsorted(triple(twos), triple(zero))
