@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_dedup, decontamination, html_text, near_dedup, quality_classifier, quality_rules, sentencepiece, substring_dedup, token_counts, warc
+from . import byte_dedup, decontamination, html_text, importance_resampling, near_dedup, quality_classifier, quality_rules, sentencepiece, source_mixing, substring_dedup, token_counts, warc
 from ._shared import table
 
 
@@ -67,9 +67,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_near_dedup, op6_quality_rules, op7_token_counts, op8_warc, op9_byte_dedup, op10_html_text)
-}
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_near_dedup, op6_quality_rules, op7_token_counts, op8_warc, op9_byte_dedup, op10_html_text,
+        op11_importance_resampling, op12_source_mixing,
+    )
+}
 
 SQL = {
     "op2_substring_dedup": r"""
@@ -113,4 +126,36 @@ SELECT page_id, strlen(html) AS payload_bytes,
                  '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM (SELECT page_id, html, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))""",
+    "op11_importance_resampling": r"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+texts AS (SELECT true AS ours, doc_id, text FROM documents UNION ALL SELECT false, NULL, text FROM benchmark),
+words AS (SELECT ours, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS (SELECT ours, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+counted AS (SELECT ours, doc_id, f, count(*) AS n FROM features GROUP BY ALL),
+coded AS (SELECT f, hex(encode(f)) AS code FROM (SELECT DISTINCT f FROM counted)),
+hashed AS (SELECT f, xor(4294967295, list_reduce(list_transform(range(CAST(len(code) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(code, 2 * i + 1, 2) AS BIGINT)),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295)) % 10000 AS bucket FROM coded, tab),
+placed AS (SELECT ours, doc_id, bucket, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL),
+totals AS (SELECT coalesce(sum(n) FILTER (ours), 0)::DOUBLE AS ss, coalesce(sum(n) FILTER (NOT ours), 0)::DOUBLE AS tt FROM placed),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (ours), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT ours), 0)::DOUBLE AS t FROM placed GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000)))) AS BIGINT) AS gain FROM sums, totals),
+weights AS (SELECT doc_id, sum(n) AS n, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM placed JOIN gains USING (bucket) WHERE ours GROUP BY doc_id),
+drawn AS (SELECT doc_id, CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT)::DOUBLE AS h FROM documents),
+scored AS (SELECT doc_id, len(w) >= 20 AS fit, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM words JOIN drawn USING (doc_id) LEFT JOIN weights USING (doc_id) WHERE ours),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS r FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND r <= 25 * (SELECT count(*) FROM scored WHERE fit) // 100 THEN r END AS rank FROM ranked""",
+    "op12_source_mixing": r"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+found AS (SELECT source, sum(size) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE number % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM found),
+steps AS (SELECT *, row_number() OVER fill AS k, sum(n) OVER fill - n AS full_n, sum(w) OVER fill - w AS full_w FROM weighed WINDOW fill AS (ORDER BY n / w, number ROWS UNBOUNDED PRECEDING)),
+shares AS (SELECT k, n, w, (1.5::DOUBLE * (SELECT sum(n) FROM found) - 2 * full_n) / ((SELECT sum(w) FROM weighed) - full_w) AS share FROM steps),
+level AS (SELECT arg_min(share, k) AS share FROM shares WHERE w * share <= 2 * n),
+targets AS (SELECT source, n, CASE WHEN w * share > 2 * n THEN 2::DOUBLE * n ELSE w * share END AS target,
+  (CAST('0x' || substr(sha256('12:' || coalesce('s' || source, '')), 1, 4) AS INTEGER) + 0.5::DOUBLE) / 65536 AS u FROM weighed, level),
+placed AS (SELECT doc_id, size, n, target, u, CASE WHEN n > 0 THEN target / n::DOUBLE ELSE 0 END AS each, row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id) AS rank
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, CAST(least(floor(rank * each + u) - floor((rank - 1) * each + u), ceil(each)) AS BIGINT) * size AS taken FROM placed""",
 }
