@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_dedup, decontamination, html_text, importance_resampling, near_dedup, quality_classifier, quality_rules, sentencepiece, source_mixing, substring_dedup, token_counts, warc
+from . import byte_dedup, decontamination, hard_negatives, html_text, importance_resampling, near_dedup, quality_classifier, quality_rules, sentencepiece, source_mixing, substring_dedup, token_counts, warc
 from ._shared import table
 
 
@@ -76,11 +76,16 @@ def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vec")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_near_dedup, op6_quality_rules, op7_token_counts, op8_warc, op9_byte_dedup, op10_html_text,
-        op11_importance_resampling, op12_source_mixing,
+        op11_importance_resampling, op12_source_mixing, op13_hard_negatives,
     )
 }
 
@@ -158,4 +163,15 @@ targets AS (SELECT source, n, CASE WHEN w * share > 2 * n THEN 2::DOUBLE * n ELS
 placed AS (SELECT doc_id, size, n, target, u, CASE WHEN n > 0 THEN target / n::DOUBLE ELSE 0 END AS each, row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id) AS rank
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, CAST(least(floor(rank * each + u) - floor((rank - 1) * each + u), ceil(each)) AS BIGINT) * size AS taken FROM placed""",
+    "op13_hard_negatives": r"""
+WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM rows a, rows b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM pairs WHERE same) WHERE r <= 5)
+SELECT * FROM (
+  SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+         n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+WHERE rank <= 10""",
 }
