@@ -8,7 +8,7 @@ features, is a document's weight. Gumbel noise from a hash of the id makes "the
 replacement.
 
 A row of the matrix has at most ``BUCKETS`` entries, whatever the length of its text, and a block about
-``BLOCK_ENTRIES``. Texts are hashed in windows of about a megabyte. Column sums leave a task as one row a bucket; only the
+``BLOCK_ENTRIES``, as writers of Parquet hold a hundred values of a column and more before they look at their size. Texts are hashed in windows of about a megabyte. Column sums leave a task as one row a bucket; only the
 ``BUCKETS`` sums reach the driver. Documents are ranked by ranges of scores, so no task sees all of them.
 
 Defined results: a null or empty text has no features, weight 0 and a score, but too few words to be drawn; of equal
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import lists, pieces, ranked, stored
+from ._shared import pieces, ranked, stored
 
 BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 25, 7
-WINDOW_BYTES, BLOCK_ENTRIES = 1_000_000, 1_000_000
-BLOCKS = "doc_id array<long>, n_words array<long>, n_features array<long>, row_starts array<int>, bucket array<int>, n array<long>"
+WINDOW_BYTES, BLOCK_ENTRIES = 1_000_000, 16_384
+BLOCKS = "doc_id array<long>, n_words array<long>, n_features array<long>, row_starts binary, bucket binary, n binary"  # the last three: packed 32-bit numbers
 #: Of each byte: a letter in lower case, a digit or a byte of a character beyond ASCII as it is, else a space.
 FOLDED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 
@@ -68,23 +68,22 @@ def counts(text: str | None, buckets: int) -> tuple[np.ndarray, int]:
 def matrix(docs: DataFrame, key: Column, name: str, buckets: int = BUCKETS) -> DataFrame:
     """``BLOCKS`` rows of the sparse counts of docs (key, text), written to the shared folder."""
 
-    def block(ids: list, words: list[int], rows: list[np.ndarray]) -> pa.RecordBatch:
-        where = [np.flatnonzero(x) for x in rows]
-        values = [x[w] for x, w in zip(rows, where, strict=True)]
-        starts = np.r_[0, np.cumsum([len(w) for w in where])].astype(np.int32)
-        columns = [ids, words, [int(x.sum()) for x in values], starts, np.concatenate(where).astype(np.int32), np.concatenate(values)]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(k)) for x, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+    def block(ids: list, words: list[int], rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        where, values = zip(*rows, strict=True)
+        packed = [np.r_[0, np.cumsum([len(w) for w in where])], np.concatenate(where), np.concatenate(values)]
+        columns = [pa.array([x], pa.list_(pa.int64())) for x in (ids, words, [int(x.sum()) for x in values])]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in packed)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             ids, words, rows, entries = [], [], [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 row, n = counts(text.as_py(), buckets)
+                where = np.flatnonzero(row)
                 ids.append(doc)
                 words.append(n)
-                rows.append(row)
-                entries += buckets  # as long as it is dense here
+                rows.append((where, row[where]))
+                entries += len(where)
                 if entries >= BLOCK_ENTRIES:
                     yield block(ids, words, rows)
                     ids, words, rows, entries = [], [], [], 0
@@ -94,14 +93,18 @@ def matrix(docs: DataFrame, key: Column, name: str, buckets: int = BUCKETS) -> D
     return stored(docs.select(key.cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCKS), name)
 
 
+def unpacked(numbers: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(numbers.as_buffer(), "<i4")
+
+
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """The features in each bucket: partial sums of each task, then a row a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            index, _ = lists(batch.column("bucket"))
-            np.add.at(total, index, lists(batch.column("n"))[0])
+            for index, n in zip(batch.column("bucket"), batch.column("n"), strict=True):
+                np.add.at(total, unpacked(index), unpacked(n))
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
@@ -123,9 +126,9 @@ def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 1) for i in range(whole.num_rows)):
-                index, starts, n = (lists(batch.column(c))[0] for c in ("bucket", "row_starts", "n"))
+                index, starts, n = (unpacked(batch.column(c)[0]) for c in ("bucket", "row_starts", "n"))
                 products = np.r_[0, np.cumsum(n * sent.value[index])]
-                features = lists(batch.column("n_features"))[0]
+                features = batch.column("n_features").flatten().to_numpy()
                 weight = (products[starts[1:]] - products[starts[:-1]]) // np.maximum(features, 1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").flatten(), batch.column("n_words").flatten(), pa.array(features), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
 

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,8 +73,9 @@ def test_blocks_hold_every_count(spark):
     blocks = resampling.matrix(docs, F.col("doc_id"), "test-blocks").collect()
     assert sorted(d for b in blocks for d in b["doc_id"]) == list(range(250))
     for b in blocks:
-        for doc, a, z in zip(b["doc_id"], b["row_starts"], b["row_starts"][1:], strict=False):
-            assert {k: n for k, n in zip(b["bucket"][a:z], b["n"][a:z], strict=True)} == Counter(features("one two two " * doc)[1])
+        starts, bucket, n = (np.frombuffer(b[c], "<i4").tolist() for c in ("row_starts", "bucket", "n"))
+        for doc, a, z in zip(b["doc_id"], starts, starts[1:], strict=False):
+            assert dict(zip(bucket[a:z], n[a:z], strict=True)) == Counter(features("one two two " * doc)[1])
 
 
 def test_targets_share_the_excess():
