@@ -224,3 +224,39 @@ def test_articles_of_the_test_pages(spark):
     for r in QUERIES["op10_html_text"](spark, "/root/testdata/sf0.01").collect():
         inner = re.sub(r"</?(?:p|br|h1)\b[^>]*>", " ", re.search(r"(?s)<article>(.*?)</article>", pages[r.page_id])[1])
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]+>", "", inner)).split())
+
+
+PARAGRAPH = "<p>" + "A long paragraph of the text itself, with many words in it. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        '<div class="post has-sidebar">%s</div>', '<div class="site header-fixed"><main>%s</main></div>', '<div class="layout with-sidebar"><article>%s</article></div>', '<form id="form1">%s</form>',
+        '<div class="elementor-widget elementor-widget-text">%s</div>', '<div class="widget">%s</div>', '<div class="sidebar"><article>%s</article></div>', '<div id="header"><div class="x">%s</div></div>', "<div>%s</div>",
+    ],
+)
+def test_wrappers_do_not_take_the_text_along(wrapper):
+    page = '<html><body><nav><a href="/">Home</a> <a href="/a">About us</a></nav>' + wrapper % (PARAGRAPH * 2) + '<div class="sidebar"><p>Other stories</p></div><footer>Imprint</footer></body></html>'
+    assert html_text.main_text(page) == " ".join([re.sub("<.*?>", "", PARAGRAPH).strip()] * 2)
+
+
+def test_what_is_beside_the_text_goes():
+    text = re.sub("<.*?>", "", PARAGRAPH).strip()
+    comments = "<html><body><div class='post'>" + PARAGRAPH + "</div><div class='comments-area'>" + PARAGRAPH * 12 + "</div></body></html>"
+    assert html_text.main_text(comments) == text
+    cards = "<html><body>" + "".join(f"<article class=card><a href=x>Story {i}</a></article>" for i in range(5)) + "<div class=post>" + PARAGRAPH * 3 + "</div></body></html>"
+    assert html_text.main_text(cards) == " ".join([text] * 3)  # the articles are cards, the cluster is elsewhere
+    for name in ("site-header", "mainMenu_nope menu", "ad", "top-banner", "cookie-notice", "nav-menu", "related-posts", "share_buttons", "sidebar-1"):
+        assert html_text.main_text(f'<body><div class="{name}"><p>Something else here</p></div><div class="story">{PARAGRAPH}</div></body>') == text
+
+
+@pytest.mark.parametrize("mark", ['<b x="', "<!-- ", "<![x", "<a ", "</", "<?", "&#", '<b x=">', "<b x='>\" "])
+def test_broken_markup_is_read_in_linear_time(mark):
+    import time
+
+    start = time.perf_counter()
+    for end in ("", "<p>end of text</p>"):
+        assert html_text.main_text("<p>start of text here " + mark * 30_000 + end)
+    assert time.perf_counter() - start < 4
+    assert html_text.main_text("<![foo]>hello <p>x") == "hello x" and html_text.main_text("a < b and c > d") == "a < b and c > d"
