@@ -14,7 +14,7 @@ shares with the words around it. What goes takes the white space after it along,
 left its line end; the removed spans keep their offsets in the original text.
 
 Digests are sent once per document and grouped with partial sums, so that a line which a third of the documents
-share costs one row a task; that digest's documents are found in a join of two written tables, whose large
+share costs one row a task; a document counts once, however many rows have its id; that digest's documents are found in a join of two written tables, whose large
 partitions adaptive execution splits. Texts move once, by document id.
 
 Defined results: a null text stays null and an empty one empty; units without letters and digits stay; repeated
@@ -60,7 +60,7 @@ def units(text: str) -> Iterator[tuple[int, int, int, int, bytes, bool]]:
 
 
 def unit_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest: each digest once per row of docs."""
+    """doc_id, digest: each digest once per document. Rows of a task have each digest once; only where an id has several rows is the table made distinct, as that moves all digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1_000_000):
@@ -71,7 +71,10 @@ def unit_digests(docs: DataFrame) -> DataFrame:
                 out += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "digest"])
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, digest binary")
+    named = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    found = stored(named.mapInArrow(run, "doc_id long, digest binary"), "units")
+    repeated = named.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return stored(found.distinct(), "units-once") if repeated else found
 
 
 def seen_before(held: DataFrame, common: int = COMMON) -> DataFrame:
@@ -117,7 +120,7 @@ def cut(text: str, seen: dict[bytes, int], least_words: int) -> tuple[str, int,
 
 def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS, common: int = COMMON, carry: tuple[str, ...] = ()) -> DataFrame:
     """``CLEANED`` rows, one per row of docs (doc_id, text), and as they are the columns named in carry."""
-    seen = seen_before(stored(unit_digests(docs), "units"), common)
+    seen = seen_before(unit_digests(docs), common)
     joined = docs.select("doc_id", "text", *carry).join(seen, "doc_id", "left").select("doc_id", "text", "_seen", *carry)
     schema = T.StructType.fromDDL(CLEANED)
     for c in carry:

@@ -299,3 +299,14 @@ def test_lines_are_removed_with_offsets(spark):
         assert r.n_removed_chars == sum(s.end - s.start for s in r.spans)
     assert substring_dedup.deduplicate(frame(spark, [])).count() == 0
     assert substring_dedup.deduplicate(frame(spark, awkward())).count() == len(awkward())
+
+
+def test_repeated_rows_are_one_document(spark):
+    """A short line of two documents stays, also where one of them has ten rows; of ten documents it goes."""
+    line = "a short line"
+    rows = [(1, f"{line}\n{prose(1, 60)}")] * 10 + [(2, f"{line}\n{prose(2, 60)}")]
+    got = {r.doc_id: r.text for r in substring_dedup.deduplicate(frame(spark, rows)).collect()}
+    assert got == dict(rows)
+    many = [(i, f"{line}\n{prose(i, 60)}") for i in range(1, 11)]
+    got = {r.doc_id: r.text for r in substring_dedup.deduplicate(frame(spark, many)).collect()}
+    assert got == {i: t if i == 1 else t.split("\n", 1)[1] for i, t in many}
