@@ -65,8 +65,9 @@ def mcc_risk(mcc: Column) -> Column:
 
 
 def quantise(x: Column) -> Column:
-    """A float to -127..127, halves away from zero."""
-    near = real(x) * real(float(QUANTUM)) + F.when(x >= 0, real(0.5)).otherwise(real(-0.5))
+    """A float to -127..127, halves away from zero; what is beyond saturates, infinity too, and NaN gives 0."""
+    bounded = F.when(F.isnan(x), real(0.0)).otherwise(F.least(F.greatest(real(x), real(-2.0)), real(2.0)))
+    near = bounded * real(float(QUANTUM)) + F.when(bounded >= 0, real(0.5)).otherwise(real(-0.5))
     return F.least(F.greatest(near.cast("int"), F.lit(-QUANTUM)), F.lit(QUANTUM))
 
 

@@ -20,25 +20,33 @@ Begin = Callable[[tuple[int, ...], pa.Table], Callable[[pa.RecordBatch], Iterato
 
 
 def meet(held: DataFrame, asked: DataFrame, keys: tuple[str, ...], begin: Begin, schema: str, partitions: int | None = None) -> DataFrame:
-    """What ``begin(key, held rows)`` makes of the batches of asked rows. keys: integer columns without nulls of both tables."""
-    own, other = (F.struct(*(c for c in df.columns if c not in keys)) for df in (held, asked))
-    kinds = [df.select(x.alias("x")).schema["x"].dataType for df, x in ((held, own), (asked, other))]
-    left = held.select(*keys, F.lit(0).alias("_side"), own.alias("_held"), F.lit(None).cast(kinds[1]).alias("_asked"))
-    right = asked.select(*keys, F.lit(1).alias("_side"), F.lit(None).cast(kinds[0]).alias("_held"), other.alias("_asked"))
-    dealt = left.union(right).repartition(*([partitions] if partitions else []), *keys).sortWithinPartitions(*keys, "_side")
+    """What ``begin(key, held rows)`` makes of the batches of asked rows. keys: integer columns without nulls of both tables.
+
+    partitions: as many as a shuffle has unless told otherwise; fewer rows don't make fewer tasks, as the work is not in moving them.
+    """
+    names = [[c for c in df.columns if c not in keys] for df in (held, asked)]
+    kinds = [{c: df.schema[c].dataType for c in own} for df, own in zip((held, asked), names, strict=True)]
+
+    def side(df: DataFrame, number: int) -> DataFrame:
+        columns = [(F.col(c) if n == number else F.lit(None).cast(kinds[n][c])).alias(f"_{n}_{c}") for n in (0, 1) for c in names[n]]
+        return df.select(*keys, F.lit(number).alias("_side"), *columns)
+
+    each = partitions or int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = side(held, 0).union(side(asked, 1)).repartition(each, *keys).sortWithinPartitions(*keys, "_side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, ask = None, [], None
         for batch in batches:
             marks = np.array([batch.column(c).to_numpy(zero_copy_only=False) for c in (*keys, "_side")])
             edges = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+            sides = [pa.RecordBatch.from_arrays([batch.column(f"_{n}_{c}") for c in names[n]], names=names[n]) for n in (0, 1)]
             for at, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
                 if at == end:
                     continue
                 *now, side = marks[:, at].tolist()
                 if now != key:
                     key, parts, ask = now, [], None
-                rows = pa.RecordBatch.from_struct_array(batch.column("_asked" if side else "_held").slice(at, end - at))
+                rows = sides[side].slice(at, end - at)
                 if not side:
                     parts.append(rows)
                 elif parts:

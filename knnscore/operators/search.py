@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from ..session import stored
 from . import blocks
 from .index import Index
+from .meeting import meet
+from .parts import SLACK, Part
 
 K = 5
+PART_ROWS = 16_384  # of a list or band that a task holds at once
 CHUNK = 256  # rows of similar first dimension that are skipped or compared together
 LISTS_BY_NAME = 2000  # most lists that a scan names, so that files of others aren't opened
 
@@ -64,6 +72,74 @@ def first_dimension_pruned(rows: DataFrame, queries: DataFrame, dims: int, k: in
     return blocks.top_k(within, known, k, dims, reached, ("radius",))
 
 
+@dataclass
+class Bands:
+    """Rows by ranges of their first dimension: rows (band, id, vec, ...), and each band's number and range."""
+
+    rows: DataFrame
+    number: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def save_bands(rows: DataFrame, path: str, each: int = PART_ROWS) -> None:
+    """Writes rows (id, vec, ...) by bands of about ``each`` rows: ranges of the first dimension and id, so many rows with one value spread too. Rows that are nearest to nothing, with a null vector or NaN for its first dimension, go."""
+    d0 = rows.where("vec IS NOT NULL").withColumn("d0", F.col("vec")[0].cast("double")).where("NOT isnan(d0)")
+    dealt = d0.repartitionByRange(max(1, -(-d0.count() // each)), "d0", "id").sortWithinPartitions("d0", "id")
+    dealt.withColumn("band", F.spark_partition_id()).write.partitionBy("band").parquet(path)
+
+
+def load_bands(spark: SparkSession, path: str, schema: StructType) -> Bands:
+    """schema: of the rows as they were saved. A row a band comes to the driver."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("d0", DoubleType()), StructField("band", IntegerType())])).parquet(path)
+    ends = rows.groupBy("band").agg(F.min("d0").alias("low"), F.max("d0").alias("high")).orderBy("band").collect()
+    return Bands(rows, *(np.array([r[c] for r in ends], kind) for c, kind in (("band", np.int32), ("low", float), ("high", float))))
+
+
+def _bands_to_visit(bands: Bands, queries: DataFrame, home: bool) -> DataFrame:
+    """band, query_id, vec, limit: the band nearest to each query's first dimension, or else all others within its limit."""
+    sent = queries.sparkSession.sparkContext.broadcast((bands.number, bands.low, bands.high))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, low, high = sent.value
+        for batch in batches:
+            asked = blocks.matrix(batch.column("vec"))[:, :1] if batch.num_rows else np.zeros((0, 1))
+            limit = pc.fill_null(batch.column("limit"), np.inf).to_numpy(zero_copy_only=False)
+            wanted = []
+            for part in blocks.steps(np.arange(len(asked)), len(number)):
+                gap = np.maximum(np.maximum(low - asked[part], asked[part] - high), 0)
+                first = gap.argmin(axis=1)
+                reached = (gap * gap * SLACK <= limit[part, None]) & (np.arange(len(number)) != first[:, None])
+                wanted += [[number[i].item()] for i in first] if home else [number[r].tolist() for r in reached]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(wanted, pa.list_(pa.int32()))], names=[*batch.schema.names, "bands"])
+
+    kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in ("query_id", "vec", "limit"))
+    visits = queries.select("query_id", "vec", "limit").mapInArrow(run, f"{kinds}, bands array<int>")
+    return visits.select(F.explode("bands").alias("band"), "query_id", "vec", "limit", F.lit(1).alias("probe_rank"))
+
+
+def band_join(bands: Bands, queries: DataFrame, k: int = K, compared: Accumulator | None = None) -> DataFrame:
+    """query_id, rank, id, dist: as ``exact``, by the first dimension. queries: query_id, vec.
+
+    Each query goes to the band around its first dimension and gets a radius there; then to the bands that the radius meets, alone; their files
+    alone are read. In a band it goes on only to chunks that are within its k-th distance so far.
+    """
+    if not len(bands.number):
+        return blocks.ranked(bands.rows.join(queries.select("query_id").limit(0), F.lit(True)).withColumn("dist", F.lit(0.0)), k).select("query_id", "rank", "id", "dist")
+    asked = stored(one_an_id(queries).withColumn("limit", F.lit(None).cast("double")), "band-queries")
+    held = bands.rows.select("band", "id", "vec")
+
+    def near(visits: DataFrame) -> DataFrame:
+        named = [r[0] for r in visits.select("band").distinct().collect()]
+        rows = held.where(F.col("band").isin(named)) if len(named) <= LISTS_BY_NAME else held
+        return meet_parts(rows, visits, ("band",), k, compared)
+
+    first = stored(near(_bands_to_visit(bands, asked, True)), "home-bands")
+    known = asked.select("query_id", "vec").alias("q").join(_radius(first, k).alias("r"), F.expr("q.query_id <=> r.query_id"), "left").select("q.query_id", "q.vec", "r.limit")
+    rest = stored(_bands_to_visit(bands, known, False), "band-visits")
+    return blocks.ranked(first.unionByName(near(rest)), k).select("query_id", "rank", "id", "dist")
+
+
 def probe_lists(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:
     """query_id, vec, probes (array of probe_rank from 1 and cluster_id): the nearest centroids, of equals the smaller cluster id. Queries stay where they are."""
     index.check_nprobe(nprobe)
@@ -88,57 +164,129 @@ def probe(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:
     return probe_lists(queries, index, nprobe).select("query_id", F.inline("probes"))
 
 
-def by_list(held: blocks.Queries, batch: pa.RecordBatch, data: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The rows of each list with the queries that probe it, but for those whose k-th distance so far is below the distance to the box around the rows."""
-    probes = held.extra["probes"]
-    flat = probes.flatten()
-    asked = np.repeat(np.arange(len(held)), probes.value_lengths().fill_null(0).to_numpy())
-    wanted, number = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("cluster_id", "probe_rank"))
-    by_cluster = np.argsort(wanted, kind="stable")
-    asked, wanted, number = asked[by_cluster], wanted[by_cluster], number[by_cluster]
-    cluster = batch.column("cluster_id").to_numpy(zero_copy_only=False)
-    order = np.argsort(cluster, kind="stable")
-    first = np.flatnonzero(np.r_[True, cluster[order][1:] != cluster[order][:-1]]) if len(order) else []
-    for rows in np.split(order, first[1:]) if len(order) else ():
-        a, b = np.searchsorted(wanted, cluster[rows[0]]), np.searchsorted(wanted, cluster[rows[0]], "right")
-        if a == b:
-            continue
-        low, high = data[rows].min(axis=0), data[rows].max(axis=0)
-        for part in blocks.steps(rows, b - a):
-            vectors = held.vectors[asked[a:b]]
-            gap = np.maximum(np.maximum(low - vectors, vectors - high), 0)
-            near = np.einsum("ij,ij->i", gap, gap) <= limit[asked[a:b]]
-            yield part, asked[a:b][near], number[a:b][near]
-
-
-def _scan(index: Index, asked: DataFrame, k: int) -> DataFrame:
-    """asked: query_id, vec (quantised), probes."""
-    parts = []
-    for block in blocks.query_blocks(asked, index.dims, ("probes",)):
-        named = block.extra["probes"].flatten().field("cluster_id").unique().to_pylist() if len(block) else []
-        lists = index.lists.where(F.col("cluster_id").isin(named)) if len(named) <= LISTS_BY_NAME and len(named) < index.n_clusters else index.lists
-        rows = lists.select("id", "cluster_id", F.col("qvec").alias("vec"), "label")
-        parts.append(blocks.block_top_k(rows, block, k, by_list, ("probe_rank", "id"), ("label",), "probe_rank"))
-    return blocks.ranked(reduce(DataFrame.unionByName, parts), k, ("probe_rank", "id")).select("query_id", "rank", "id", "dist", "label")
+def one_an_id(queries: DataFrame) -> DataFrame:
+    """query_id, vec: rows that share an id are one query, the least vector counts; null vectors have no part."""
+    return queries.where("vec IS NOT NULL").groupBy("query_id").agg(F.min("vec").alias("vec"))
+
+
+def meet_parts(held: DataFrame, asked: DataFrame, keys: tuple[str, ...], k: int, compared: Accumulator | None = None) -> DataFrame:
+    """query_id, probe_rank, dist, id and further columns of held: in each part the k nearest rows of the queries that come to it.
+
+    held: keys, id, vec and columns to carry, bounded for each key. asked: keys, query_id, vec, probe_rank, limit (null: none), beyond
+    which no row is wanted. compared: counts the pairs whose distance was taken.
+    """
+    carry = [c for c in held.columns if c not in (*keys, "id", "vec")]
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = ", ".join([f"query_id {kind(asked, 'query_id')}, probe_rank int, dist double, id {kind(held, 'id')}", *(f"{c} {kind(held, c)}" for c in carry)])
+
+    def begin(key: tuple[int, ...], rows: pa.Table) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+        part = Part(rows, k)
+
+        def ask(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            column, before = batch.column("vec"), part.compared
+            limit = pc.fill_null(batch.column("limit"), np.inf).to_numpy(zero_copy_only=False)
+            q, r, dist = part.nearest(blocks.matrix(column), limit, blocks.is_whole(column))
+            if compared is not None:
+                compared.add(part.compared - before)
+            near = part.rows.take(pa.array(r)).combine_chunks()
+            columns = [batch.column("query_id").take(pa.array(q)), batch.column("probe_rank").take(pa.array(q)), pa.array(dist), *(pa.concat_arrays(near.column(c).chunks) for c in ("id", *carry) if len(q))]
+            if len(q):
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "probe_rank", "dist", "id", *carry])
+
+        return ask
+
+    return meet(held, asked, keys, begin, schema)
+
+
+def _parts(index: Index) -> DataFrame:
+    """cluster_id, parts: into how many a list is dealt, so that a task can hold one. A row a list, under the bound of the centroids."""
+    parts = np.maximum(1, -(-index.held().sizes // PART_ROWS)).tolist()
+    return F.broadcast(index.lists.sparkSession.createDataFrame(list(enumerate(parts)), "cluster_id int, parts int"))
+
+
+def _scan(index: Index, lists: DataFrame, asked: DataFrame, k: int, compared: Accumulator | None = None) -> DataFrame:
+    """asked: query_id, vec (quantised), cluster_id, probe_rank, limit. Lists and queries are dealt by list and part in one shuffle and meet there."""
+    parts = _parts(index)
+    held = lists.join(parts, "cluster_id").select("cluster_id", F.expr("pmod(xxhash64(id), parts)").cast("int").alias("part"), "id", F.col("qvec").alias("vec"), "label")
+    sent = asked.join(parts, "cluster_id").select("cluster_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "vec", "probe_rank", "limit")
+    return meet_parts(held, sent, ("cluster_id", "part"), k, compared)
+
+
+def _answers(found: DataFrame, k: int) -> DataFrame:
+    return blocks.ranked(found, k, ("probe_rank", "id")).select("query_id", "rank", "id", "dist", "label")
 
 
 def scan_lists(index: Index, queries: DataFrame, probes: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, id, dist, label: the nearest quantised rows of the probed lists; ties by probe rank, then id, which is the order in a list.
 
-    queries: query_id, vec (quantised). probes: query_id, cluster_id, probe_rank. Lists aren't moved: probed ones are
-    read, and each task compares the rows of a list with the queries that probe it alone, less those that the box
-    around the rows rules out.
+    queries: query_id, vec (quantised). probes: query_id, cluster_id, probe_rank. Any number of queries makes a plan of the
+    same size; a list's parts and the queries that probe it meet in one task, where boxes around chunks rule rows out.
     """
-    lists = probes.groupBy("query_id").agg(F.collect_list(F.struct("probe_rank", "cluster_id")).alias("probes"))
-    asked = queries.alias("q").join(lists.alias("p"), F.expr("q.query_id <=> p.query_id")).select("q.query_id", "q.vec", "p.probes")
-    return _scan(index, asked, k)
+    asked = one_an_id(queries).alias("q").join(probes.alias("p"), F.expr("q.query_id <=> p.query_id")).select("q.query_id", "q.vec", "p.cluster_id", "p.probe_rank", F.lit(None).cast("double").alias("limit"))
+    return _answers(_scan(index, index.lists, asked, k), k)
 
 
-def inverted_file(index: Index, queries: DataFrame, nprobe: int, k: int = K) -> DataFrame:
-    """Search of float queries (query_id, vec): probe, quantise, scan. With as many probes as lists nothing is lost: boxes alone rule rows out."""
+def _probed(index: Index, queries: DataFrame, nprobe: int) -> DataFrame:
+    """query_id, vec (quantised), probes of float queries."""
     from ..functions.scalar import quantise_vector
 
-    return _scan(index, probe_lists(queries, index, nprobe).withColumn("vec", quantise_vector("vec")), k)
+    return probe_lists(one_an_id(queries), index, nprobe).withColumn("vec", quantise_vector("vec"))
+
+
+def inverted_file(index: Index, queries: DataFrame, nprobe: int, k: int = K) -> DataFrame:
+    """Search of float queries (query_id, vec): probe, quantise, scan, all in one plan."""
+    asked = _probed(index, queries, nprobe).select("query_id", "vec", F.inline("probes")).withColumn("limit", F.lit(None).cast("double"))
+    return _answers(_scan(index, index.lists, asked, k), k)
+
+
+def lists_named(index: Index, asked: DataFrame) -> DataFrame:
+    """The lists that asked (cluster_id) names: a filter on the folders, so that files of others aren't opened. At most a number a list comes to the driver."""
+    named = [r[0] for r in asked.select("cluster_id").distinct().collect()]
+    return index.lists.where(F.col("cluster_id").isin(named)) if len(named) < min(index.n_clusters, LISTS_BY_NAME + 1) else index.lists
+
+
+def within_boxes(index: Index, asked: DataFrame, slack: float = 1.0) -> DataFrame:
+    """asked (query_id, vec, probes, limit) with those probes after the first whose list's stored box is no farther than slack times the limit."""
+    sent = asked.sparkSession.sparkContext.broadcast(index.held())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors, limit = blocks.matrix(batch.column("vec")), pc.fill_null(batch.column("limit"), np.inf).to_numpy(zero_copy_only=False)
+            flat, n = batch.column("probes").flatten(), batch.column("probes").value_lengths().to_numpy()
+            cluster, owner = flat.field("cluster_id").to_numpy(), np.repeat(np.arange(len(n)), n)
+            near = np.empty(len(cluster), bool)
+            for part in blocks.steps(np.arange(len(cluster)), index_dims):
+                q = vectors[owner[part]]
+                gap = np.maximum(np.maximum(held.low[cluster[part]] - q, q - held.high[cluster[part]]), 0)
+                near[part] = np.einsum("ij,ij->i", gap, gap) <= slack * limit[owner[part]]
+            near &= (flat.field("probe_rank").to_numpy() > 1) & (held.sizes[cluster] > 0)
+            kept = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(owner[near], minlength=len(n)))].astype(np.int32)), flat.filter(pa.array(near)))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec"), kept, batch.column("limit")], names=["query_id", "vec", "probes", "limit"])
+
+    index_dims = index.dims
+    return asked.select("query_id", "vec", "probes", "limit").mapInArrow(run, asked.select("query_id", "vec", "probes", "limit").schema)
+
+
+def pruned_file(index: Index, queries: DataFrame, nprobe: int | None = None, k: int = K, compared: Accumulator | None = None, slack: float = 1.0) -> DataFrame:
+    """As ``inverted_file``, in two phases; nprobe None: all lists, which loses no neighbour.
+
+    The nearest list gives each query k rows and with them a radius. Of the other probed lists only those are read whose stored box is within
+    the radius. Both phases' requests and the first one's rows are written to the shared folder, so nothing is computed again.
+    """
+    probes = stored(_probed(index, queries, index.n_clusters if nprobe is None else nprobe), "probes")
+    first = probes.select("query_id", "vec", F.inline(F.slice("probes", 1, 1)), F.lit(None).cast("double").alias("limit"))
+    near = stored(_scan(index, lists_named(index, first), first, k, compared), "nearest")
+    known = probes.alias("p").join(_radius(near, k).alias("r"), F.expr("p.query_id <=> r.query_id"), "left").select("p.*", "r.limit")
+    rest = stored(within_boxes(index, known, slack).select("query_id", "vec", F.inline("probes"), "limit"), "probes-within")
+    return _answers(near.unionByName(_scan(index, lists_named(index, rest), rest, k, compared)), k)
+
+
+def _radius(near: DataFrame, k: int) -> DataFrame:
+    """query_id, limit: the distance of the k-th row, null where there are fewer."""
+    return blocks.ranked(near, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("limit"))
 
 
 def pruned_probes(index: Index, queries: DataFrame, k: int = K) -> DataFrame:

@@ -78,10 +78,10 @@ def knn_dim0_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_dim0_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through files that are sorted by the first dimension, of which ranges are skipped."""
-    path = shared_path(spark, "by-first-dimension")
-    search.sorted_by_first_dimension(_quantised(_rows(spark, sf_dir))).write.parquet(path)
-    return _ranks(search.first_dimension_pruned(spark.read.parquet(path), _quantised(_queries(spark, sf_dir)), DIMS, near=1.0))
+    """The same through files by bands of the first dimension: each query goes to its own band, then to those that its radius meets."""
+    path, rows = shared_path(spark, "by-first-dimension"), _quantised(_rows(spark, sf_dir))
+    search.save_bands(rows, path)
+    return _ranks(search.band_join(search.load_bands(spark, path, rows.schema), _quantised(_queries(spark, sf_dir))))
 
 
 def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +130,8 @@ def ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lists that the boxes around their rows don't rule out: no neighbour is lost (these vectors are spread evenly, so four lists find two thirds)."""
-    return _ranks(search.inverted_file(_index(spark, sf_dir), _queries(spark, sf_dir), CLUSTERS))
+    """All lists whose stored box is within the radius that the nearest list gives: no neighbour is lost. These vectors are spread evenly, so boxes rule out little and four lists find two thirds; see ``knn_requests`` for vectors that cluster."""
+    return _ranks(search.pruned_file(_index(spark, sf_dir), _queries(spark, sf_dir)))
 
 
 def knn_ivf_nprobe4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +198,7 @@ def decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decision_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = _queries(spark, sf_dir)
-    return vote.decide(vote.fraud_count(queries, search.inverted_file(_index(spark, sf_dir), queries, CLUSTERS), FRAUD))
+    return vote.decide(vote.fraud_count(queries, search.pruned_file(_index(spark, sf_dir), queries), FRAUD))
 
 
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:

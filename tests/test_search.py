@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from knnscore.functions import scalar as S
-from knnscore.operators import blocks, index, kmeans, search, vote
+from knnscore.operators import index, kmeans, parts, search, vote
 
 ROWS, QUERIES = "id long, vec array<float>, label int", "query_id long, vec array<float>"
 #: Example vectors of the two kinds of request.
@@ -204,19 +204,23 @@ def test_index_on_null_vectors_and_empty_tables(spark):
     assert search.inverted_file(built, twice.limit(0), 2).count() == 0
 
 
-def test_boxes_rule_rows_out_in_the_scan():
-    """In a batch of far lists, later ones aren't compared; with a wrong box bound the result would differ."""
+def test_boxes_rule_chunks_out():
+    """Chunks of far rows aren't compared; with a wrong bound the result differs."""
     random = np.random.default_rng(5)
     data = np.concatenate([random.integers(-5, 5, (50, 4)) + 40 * c for c in range(3)])
-    batch = pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array([i // 50 for i in range(150)], pa.int32()), pa.array(data.tolist(), pa.list_(pa.int16())), pa.array([0] * 150)], names=["id", "cluster_id", "vec", "label"])
-    probes = pa.array([[{"probe_rank": c + 1, "cluster_id": c} for c in range(3)]] * 4)
-    held = blocks.Queries(pa.array(range(4)), "bigint", data[:4].astype(float), True, {"probes": probes})
-    best = blocks.Best(held, 5, search.by_list, ("probe_rank", "id"), ("id", "label"), "probe_rank")
-    best.add(batch)
+    table = pa.table({"id": range(150), "vec": pa.array(data.tolist(), pa.list_(pa.int16())), "label": [0] * 150})
     truth = [sorted((((data[i] - data[q]) ** 2).sum(), i) for i in range(150))[:5] for q in range(4)]
-    assert best.compared == 4 * 50
-    got = best.result().to_pylist()
-    assert [[(r["dist"], r["id"]) for r in got if r["query_id"] == q] for q in range(4)] == truth
+
+    def nearest(part):
+        q, r, d = part.nearest(data[:4].astype(float), np.full(4, np.inf), True)
+        ids = part.rows.column("id").to_numpy()
+        return [[(x, ids[i]) for n, i, x in zip(q, r, d, strict=True) if n == k] for k in range(4)]
+
+    part = parts.Part(table, 5, chunk=50)
+    assert nearest(part) == truth and part.compared == 4 * 50
+    wrong = parts.Part(table, 5, chunk=10)
+    wrong.bounds = lambda queries: parts.Part.bounds(wrong, queries) * 1000 + 1e6 * (np.arange(15) > 3)
+    assert nearest(wrong) != truth
 
 
 def test_first_dimension_store_skips_row_groups(spark, tmp_path):
@@ -238,3 +242,51 @@ def test_mass_and_one_round_match_numpy(spark):
     x = np.float32(data).astype(float)
     total = ((x[:, None] - x[None, :4]) ** 2).sum(axis=2).min(axis=1).sum()
     assert kmeans.mass(rows(spark, data.tolist()), x[:4]).first().total == pytest.approx(total)
+
+
+def old_seeds(x, n, seed):
+    """k-means++ over all rows, one after the other."""
+    random = np.random.default_rng(seed)
+    seeds, least = [x[random.integers(len(x))]], np.full(len(x), np.inf)
+    for _ in range(1, n):
+        least = np.minimum(least, ((x - seeds[-1]) ** 2).sum(axis=1))
+        up = np.cumsum(least)
+        seeds.append(x[np.searchsorted(up, random.random() * up[-1])])
+    return np.array(seeds)
+
+
+def test_seeds_from_all_rows_are_as_good_as_one_by_one(spark):
+    x = np.float32(integers(11, n=3000, clusters=40)).astype(float)
+    frame = rows(spark, x.tolist()).repartition(6)
+    cost = lambda c: ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    ours = np.mean([cost(kmeans.spread_seeds(frame, 40, seed=s)) for s in (1, 2)])
+    assert ours <= 1.05 * np.mean([cost(old_seeds(x, 40, s)) for s in range(8)])
+
+
+def test_a_pass_of_seeding_matches_numpy(spark):
+    x = np.float32(integers(12, n=400)).astype(float)
+    frame = rows(spark, x.tolist()).repartition(3)
+    least = ((x[:, None] - x[None, :2]) ** 2).sum(axis=2).min(axis=1)
+    got = kmeans.drawn(frame, x[:2], 60, float(least.sum()), 3, 7)
+    chance = {r.id: r.c for r in frame.select("id", (F.pmod(F.xxhash64("id", F.lit(7), F.lit(3)), F.lit(1 << 53)) / float(1 << 53)).alias("c")).collect()}
+    expected = [x[i].tolist() for i in range(400) if chance[i] * least.sum() < 60 * least[i]]
+    assert sorted(got.tolist()) == sorted(expected) and 20 < len(got) < 120
+
+
+def test_bounded_rounds_equal_plain_ones_and_skip_rows(spark):
+    random = np.random.default_rng(13)
+    x = random.normal(0, 1, (20, 6))[random.integers(20, size=1500)] + random.normal(0, 0.1, (1500, 6))
+    frame = rows(spark, x.tolist()).repartition(3)
+    seeds = kmeans.spread_seeds(frame, 20)
+    compared = spark.sparkContext.accumulator(0)
+    bounded, before = kmeans.bounded_fit(frame, seeds, 8, compared)
+    plain, last = kmeans.fit(frame, seeds, 8)
+    assert np.allclose(bounded, plain, atol=1e-6) and np.allclose(before, last, atol=1e-6)
+    assert compared.value < 0.6 * 8 * 1500 * 20
+    none = kmeans.bounded_fit(frame, np.zeros((0, 0)))[0]
+    assert len(none) == 0 and len(kmeans.fit(frame, np.zeros((0, 0)))[0]) == 0
+
+
+def test_few_rows_give_their_seeds(spark):
+    assert sorted(map(tuple, kmeans.spread_seeds(rows(spark, first(1, 2, 2, 3)), 3).tolist())) == sorted(map(tuple, np.array(first(1, 2, 3)).tolist()))
+    assert len(kmeans.spread_seeds(rows(spark, first(1, 1)), 4)) == 4
