@@ -1,39 +1,18 @@
-"""What several operators need: the shared folder, tables that cut lineage, byte-bounded batches."""
+"""What several operators need: the shared folder and tables that cut lineage (of the engine's session module), byte-bounded batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ranked, shared_dir, stored
+from ..session import shared_path as new_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one and a cluster an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='knnscore-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["dealt_by", "lists", "new_path", "pieces", "ranked", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,19 +42,3 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def dealt_by(df: DataFrame, rows: int, each: int) -> DataFrame:
     """``df`` in as many partitions as ``rows`` need at ``each`` a task (eight at least), where it has more: small tables in rounds don't pay for a task per shuffle partition."""
     return df.coalesce(max(8, -(-rows // each)))
-
-
-def ranked(df: DataFrame, group: str, *order: Column, name: str) -> DataFrame:
-    """Adds rank: the place from 1 among the rows of the same group, in the given order, however many rows a group has.
-
-    Rows are dealt by ranges of (group, order), so a group spreads over tasks, and written sorted with each row's task and
-    place in it. What stands before a task is the sum of the counts of earlier tasks: a row for each task and for each
-    group that begins in it, which is what is broadcast. group has no nulls.
-    """
-    dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    written = stored(dealt.withColumn("_row", F.monotonically_increasing_id()), name)
-    placed = written.withColumns({"_task": F.shiftright("_row", 33), "_at": F.col("_row").bitwiseAND((1 << 33) - 1)}).drop("_row")
-    runs = placed.groupBy(group, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    before = runs.select(group, "_task", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return placed.join(F.broadcast(before), [group, "_task"]).withColumn("rank", F.col("_at") + F.col("_shift") + 1).select(*df.columns, "rank")
