@@ -23,6 +23,7 @@ MCC_RISK = {
 MCC_DEFAULT = 0.50
 LIMITS = {"amount": 10_000.0, "installments": 12.0, "ratio": 10.0, "minutes": 1440.0, "km": 1000.0, "tx_count": 20.0, "merchant_avg": 10_000.0}
 QUANTUM = 127
+CLOCK = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}):([0-9]{2})"
 
 
 def real(x: Column | float) -> Column:
@@ -40,23 +41,45 @@ def clamp(x: Column) -> Column:
     return F.when(x < 0, real(0.0)).when((x > 1) & ~F.isnan(x), real(1.0)).otherwise(x)
 
 
-def hour_of(ts: Column) -> Column:
-    return F.hour(ts)
+def hour_of(text: Column) -> Column:
+    """The hour as it stands in YYYY-MM-DDTHH:MM, whatever offset follows and whatever the session's time zone; null elsewhere."""
+    return F.regexp_extract(text, CLOCK, 2).try_cast("int")
 
 
-def weekday_of(ts: Column) -> Column:
-    """Monday 0 to Sunday 6."""
-    return F.weekday(ts)
+def minute_of(text: Column) -> Column:
+    return F.regexp_extract(text, CLOCK, 3).try_cast("int")
+
+
+def day_of(text: Column) -> Column:
+    """The date as it stands; null where there is none."""
+    return F.regexp_extract(text, CLOCK, 1).try_cast("date")
+
+
+def weekday_of(text: Column) -> Column:
+    """Monday 0 to Sunday 6 of the date as it stands."""
+    return F.weekday(day_of(text))
+
+
+def clock_minutes(text: Column) -> Column:
+    """Whole minutes since 1970 of date and time as they stand; null where they are none."""
+    at = F.when((hour_of(text) < 24) & (minute_of(text) < 60), hour_of(text) * 60 + minute_of(text))
+    return (F.unix_date(day_of(text)).cast("long") * 1440 + at).cast("long")
 
 
 def epoch_minutes(ts: Column) -> Column:
-    """Whole minutes since 1970, seconds cut off."""
+    """Whole minutes since 1970 of a timestamp, seconds cut off."""
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / 60).cast("long")
 
 
 def minutes_between(later: Column, earlier: Column) -> Column:
-    """Whole minutes of each cut before subtracting; never negative."""
-    return F.greatest(epoch_minutes(later) - epoch_minutes(earlier), F.lit(0).cast("long"))
+    """Whole minutes of each text cut before subtracting; never negative."""
+    return F.greatest(clock_minutes(later) - clock_minutes(earlier), F.lit(0).cast("long"))
+
+
+def leading_int(text: Column) -> Column:
+    """The digits that a number's text begins with, 0 where it begins otherwise (3.7 gives 3, -3 gives 0); saturates."""
+    digits = F.regexp_extract(text, "^[0-9]+", 0)
+    return F.when(text.isNotNull(), F.when(digits == "", 0).otherwise(F.least(F.coalesce(digits.try_cast("long"), F.lit(2**31 - 1)), F.lit(2**31 - 1)).cast("int")))
 
 
 def mcc_risk(mcc: Column) -> Column:

@@ -208,7 +208,7 @@ def append(spark: SparkSession, path: str, rows: DataFrame) -> Index:
     name = _write_lists(assigned, path)
     more = statistics(_read_lists(spark, path, [name], StructType.fromJson(meta["schema"])), old.n_clusters, old.dims)
     held = old.held()
-    both = [(n + m, np.minimum(low, a).tolist(), np.maximum(high, b).tolist()) for n, low, high, (m, a, b) in zip(held.sizes.tolist(), held.low, held.high, more, strict=True)]
+    both = [(n + m, np.minimum(low, a).astype(int).tolist(), np.maximum(high, b).astype(int).tolist()) for n, low, high, (m, a, b) in zip(held.sizes.tolist(), held.low, held.high, more, strict=True)]
     return _add_version(spark, path, meta | {"version": meta["version"] + 1, "rows": [*meta["rows"], name]}, old.centroids(), both)
 
 

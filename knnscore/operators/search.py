@@ -212,8 +212,8 @@ def _scan(index: Index, lists: DataFrame, asked: DataFrame, k: int, compared: Ac
     return meet_parts(held, sent, ("cluster_id", "part"), k, compared)
 
 
-def _answers(found: DataFrame, k: int) -> DataFrame:
-    return blocks.ranked(found, k, ("probe_rank", "id")).select("query_id", "rank", "id", "dist", "label")
+def _answers(found: DataFrame, k: int, order: tuple[str, ...] = ("probe_rank", "id")) -> DataFrame:
+    return blocks.ranked(found, k, order).select("query_id", "rank", "id", "dist", "label")
 
 
 def scan_lists(index: Index, queries: DataFrame, probes: DataFrame, k: int = K) -> DataFrame:
@@ -270,8 +270,8 @@ def within_boxes(index: Index, asked: DataFrame, slack: float = 1.0) -> DataFram
     return asked.select("query_id", "vec", "probes", "limit").mapInArrow(run, asked.select("query_id", "vec", "probes", "limit").schema)
 
 
-def pruned_file(index: Index, queries: DataFrame, nprobe: int | None = None, k: int = K, compared: Accumulator | None = None, slack: float = 1.0) -> DataFrame:
-    """As ``inverted_file``, in two phases; nprobe None: all lists, which loses no neighbour.
+def pruned_file(index: Index, queries: DataFrame, nprobe: int | None = None, k: int = K, compared: Accumulator | None = None, slack: float = 1.0, order: tuple[str, ...] = ("probe_rank", "id")) -> DataFrame:
+    """As ``inverted_file``, in two phases; nprobe None: all lists, which loses no neighbour. order: of equal distances.
 
     The nearest list gives each query k rows and with them a radius. Of the other probed lists only those are read whose stored box is within
     the radius. Both phases' requests and the first one's rows are written to the shared folder, so nothing is computed again.
@@ -281,7 +281,7 @@ def pruned_file(index: Index, queries: DataFrame, nprobe: int | None = None, k:
     near = stored(_scan(index, lists_named(index, first), first, k, compared), "nearest")
     known = probes.alias("p").join(_radius(near, k).alias("r"), F.expr("p.query_id <=> r.query_id"), "left").select("p.*", "r.limit")
     rest = stored(within_boxes(index, known, slack).select("query_id", "vec", F.inline("probes"), "limit"), "probes-within")
-    return _answers(near.unionByName(_scan(index, lists_named(index, rest), rest, k, compared)), k)
+    return _answers(near.unionByName(_scan(index, lists_named(index, rest), rest, k, compared)), k, order)
 
 
 def _radius(near: DataFrame, k: int) -> DataFrame:

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .operators import blocks, features, index, kmeans, search, vote
-from .session import shared_path
+from .session import shared_path, stored
 
 DIMS, CLUSTERS, NPROBE, K = 64, 16, 4, 5
+FITTED, FIT_ROUNDS, BAND_ROWS = 64, 5, 4096  # of the index and the bands of request vectors
 FRAUD = "label >= 7"
 
 
@@ -230,7 +231,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iso_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.col("request.transaction.requested_at").cast("timestamp")
+    at = F.col("request.transaction.requested_at")
     parsed = features.parse(requests(spark, sf_dir))
     return parsed.select(F.col("query_id").alias("event_id"), S.hour_of(at).alias("hour"), S.weekday_of(at).alias("weekday"))
 
@@ -256,16 +257,70 @@ def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("query_id").alias("event_id"), "dim", F.round(F.col("x.vec").cast("double"), 5).alias("value"), F.col("x.q").cast("int").alias("q"))
 
 
+def _request_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, vec, label of each event's request; those of a tenth of a limit and more are fraud."""
+    found = features.vectorise(features.parse(requests(spark, sf_dir))).where("status = 200")
+    return found.select(F.col("query_id").alias("id"), "vec", F.when(F.col("vec")[0] >= 0.01, 1).otherwise(0).cast("tinyint").alias("label"))
+
+
+def _asked_of(rows: DataFrame) -> DataFrame:
+    return rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vec")
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, index.Index]:
+    """The request vectors, written once, and an index that k-means was fitted for, saved and loaded."""
+    rows, path = stored(_request_vectors(spark, sf_dir), "request-vectors"), shared_path(spark, "fitted-index")
+    _, before = kmeans.fit(rows, kmeans.spread_seeds(rows, FITTED, passes=2), FIT_ROUNDS)
+    index.build(rows, before, NPROBE, path)
+    return rows, index.load(spark, path, features.DIMS)
+
+
+def _event_ranks(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "rank", F.col("id").alias("event_id"), F.col("dist").cast("long").alias("dist"))
+
+
+def knn_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact neighbours of requests through a fitted, saved index: of the lists after the nearest, those whose stored box is within the radius are read."""
+    rows, found = _fitted(spark, sf_dir)
+    return _event_ranks(search.pruned_file(found, _asked_of(rows), order=("id",)))
+
+
+def knn_requests_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact neighbours of requests by bands of their first dimension."""
+    rows, path = stored(_quantised(_request_vectors(spark, sf_dir)), "request-vectors"), shared_path(spark, "request-bands")
+    search.save_bands(rows, path, BAND_ROWS)
+    return _event_ranks(search.band_join(search.load_bands(spark, path, rows.schema), _asked_of(rows)))
+
+
+def knn_requests_nprobe4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of requests in the nearest four of the fitted index's lists; tests hold their recall (0.9 and more) against brute force."""
+    rows, found = _fitted(spark, sf_dir)
+    return _event_ranks(search.inverted_file(found, _asked_of(rows), NPROBE))
+
+
+def requests_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the exact neighbours' distances that four lists of the fitted index reach: a row no farther than the true one counts as found."""
+    rows, found = _fitted(spark, sf_dir)
+    truth = search.exact(_quantised(rows), _quantised(_asked_of(rows)), features.DIMS).groupBy("query_id").agg(F.max("dist").alias("worst"), F.count(F.lit(1)).alias("n"))
+    got = search.inverted_file(found, _asked_of(rows), NPROBE).join(truth, "query_id").where("dist <= worst")
+    return got.agg(F.count(F.lit(1)).alias("hits")).crossJoin(truth.agg(F.sum("n").alias("n"))).select(F.lit(NPROBE).alias("nprobe"), (F.col("hits") / F.col("n")).alias("recall"))
+
+
+def kmeans_two_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centroids after two rounds from the smallest ids."""
+    rows = _rows(spark, sf_dir)
+    centroids, _ = kmeans.fit(rows, kmeans.first_rows(rows, CLUSTERS), 2)
+    table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cluster_id int, mean array<double>")
+    return _exploded(table, "cluster_id", "mean", "x").select("cluster_id", "dim", (F.round("x", 5) + 0.0).alias("mean"))
+
+
 def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests against an index of their own vectors: those of a tenth of a limit and more are fraud."""
     from .plans.scoring import score
 
     raw = requests(spark, sf_dir)
-    vectors = lambda df: features.vectorise(features.parse(df)).where("status = 200").select(F.col("query_id").alias("id"), "vec")
-    rows = vectors(raw).withColumn("label", F.when(F.col("vec")[0] >= 0.01, 1).otherwise(0).cast("tinyint"))
-    least = _table(spark, sf_dir, "events").agg(F.min("event_id")).first()[0]
-    first = kmeans.first_rows(vectors(raw.where(f"query_id < {100 * CLUSTERS + (least or 0)}")), CLUSTERS)
-    found = index.build(rows, first if len(first) == CLUSTERS else kmeans.first_rows(rows, CLUSTERS), NPROBE)
+    rows = stored(_request_vectors(spark, sf_dir), "request-vectors")  # parsed once, for the seeds and the lists
+    found = index.build(rows, kmeans.first_rows(rows, CLUSTERS), NPROBE)
     asked = raw.where("query_id % 100 = 0")
     answered = score(asked, found)
     body = F.from_json("body", "approved boolean, fraud_score double")
@@ -278,6 +333,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         quantize_int8, dequantize, pair_l2sq_int8, knn_exact_int8, knn_exact_float, knn_dim0_pruned, knn_dim0_store, ivf_assign, ivf_sizes_offsets, ivf_size_stats, ivf_layout, index_saved_lists,
         cluster_bbox, bbox_lower_bound, bbox_pruning, ivf_probe, knn_ivf, knn_ivf_nprobe4, knn_ivf_nprobe1, ivf_recall, kmeans_one_step, kmeans_mass, kmeans_centroids, fraud_count, fraud_count_float,
         fraud_score, decision, decision_ivf, response_json, iso_parts, epoch_minutes, mcc_risk, merchant_known, feature_vector, score_requests,
+        knn_requests, knn_requests_bands, knn_requests_nprobe4, requests_recall, kmeans_two_rounds,
     )
 }
 
@@ -313,7 +369,36 @@ _FEATURES = f"""{_REQ}, f AS (SELECT event_id,
   least((value * 30)::FLOAT / 10000::FLOAT, 1)::FLOAT AS d13 FROM req),
 vectors AS (SELECT event_id, [d0, d1, d2, d3, d4, d5, d6, d7, d8, d9, d10, d11, d12, d13] AS vec FROM f)"""
 
+_REQUEST_PAIRS = f"""{_FEATURES}, q14 AS (SELECT event_id, vec, list_transform(vec, lambda x: CAST(greatest(-127, least(127,
+  trunc(x * 127::FLOAT + CASE WHEN x >= 0 THEN 0.5::FLOAT ELSE -0.5::FLOAT END))) AS INTEGER)) AS v FROM vectors)"""
+_D14 = "CAST(" + " + ".join(f"(a.v[{i}] - b.v[{i}]) * (a.v[{i}] - b.v[{i}])" for i in range(1, 15)) + " AS BIGINT)"
+_F14 = "(" + " + ".join(f"(a.vec[{i}]::DOUBLE - c[{i}]::DOUBLE) * (a.vec[{i}]::DOUBLE - c[{i}]::DOUBLE)" for i in range(1, 15)) + ")"
+_REQUEST_NEAR = f"""WITH {_REQUEST_PAIRS} SELECT query_id, CAST(rank AS INTEGER) AS rank, event_id, dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, event_id) AS rank FROM (SELECT a.event_id AS query_id, b.event_id, {_D14} AS dist FROM q14 a, q14 b WHERE a.event_id % 100 = 0)) WHERE rank <= 5"""
+
+
+def _round_sql(number: int) -> str:
+    """CTE of the centroids after a round: assign to those before, average, as 32-bit floats; a cluster without rows keeps its centroid."""
+    last = f"cent{number - 1}"
+    return f"""near{number} AS (SELECT vec_id, arg_min(cluster_id, dist) AS cluster_id FROM (
+  SELECT a.vec_id, b.cluster_id, {_DF.format("embedding", "c")} AS dist FROM embeddings a, {last} b ORDER BY a.vec_id, b.cluster_id) GROUP BY vec_id),
+mean{number} AS (SELECT cluster_id, list(m ORDER BY i) AS c FROM (SELECT cluster_id, i, avg(embedding[i]::DOUBLE)::FLOAT AS m FROM near{number} JOIN embeddings USING (vec_id), range(1, 65) t(i) GROUP BY cluster_id, i) GROUP BY cluster_id),
+cent{number} AS (SELECT b.cluster_id, coalesce(m.c, b.c) AS c FROM {last} b LEFT JOIN mean{number} m USING (cluster_id))"""
+
+
 SQL = {
+    "knn_requests": _REQUEST_NEAR,
+    "knn_requests_bands": _REQUEST_NEAR,
+    "kmeans_two_rounds": f"""WITH {_CENT.replace("cent AS", "cent0 AS", 1)}, {_round_sql(1)}, {_round_sql(2)}
+SELECT CAST(cluster_id AS INTEGER) AS cluster_id, CAST(i - 1 AS INTEGER) AS dim, round(c[i]::DOUBLE, 5) + 0.0::DOUBLE AS mean FROM cent2, range(1, 65) t(i)""",
+    "score_requests": f"""WITH {_REQUEST_PAIRS}, cent AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS cluster_id, vec AS c FROM (SELECT * FROM q14 ORDER BY event_id LIMIT 16)),
+away AS (SELECT event_id, cluster_id, {_F14} AS dist FROM q14 a, cent),
+assigned AS (SELECT event_id, arg_min(cluster_id, dist) AS cluster_id FROM (SELECT * FROM away ORDER BY event_id, cluster_id) GROUP BY event_id),
+probe AS (SELECT event_id AS query_id, cluster_id, row_number() OVER (PARTITION BY event_id ORDER BY dist, cluster_id) AS probe_rank FROM away WHERE event_id % 100 = 0),
+scanned AS (SELECT p.query_id, p.probe_rank, b.event_id, b.vec[1]::DOUBLE >= 0.01::DOUBLE AS fraud, {_D14} AS dist
+  FROM probe p JOIN q14 a ON a.event_id = p.query_id JOIN assigned l ON l.cluster_id = p.cluster_id JOIN q14 b ON b.event_id = l.event_id WHERE p.probe_rank <= 4),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, probe_rank, event_id) AS rank FROM scanned) WHERE rank <= 5)
+SELECT query_id, 200 AS status, count(*) FILTER (fraud) < 3 AS approved, count(*) FILTER (fraud) / 5 AS fraud_score FROM near GROUP BY query_id""",
     "quantize_int8": f"WITH {_Q8} SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, v[i] AS q FROM q8, range(1, 65) t(i)",
     "dequantize": f"WITH {_Q8} SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, round((v[i]::FLOAT / 127::FLOAT)::FLOAT::DOUBLE, 5) AS value FROM q8, range(1, 65) t(i)",
     "pair_l2sq_int8": f"WITH {_PAIRS} SELECT query_id, vec_id, dist FROM pairs",

@@ -163,6 +163,120 @@ def test_binary_layouts(spark, tmp_path, version):
 
 
 @pytest.mark.parametrize("spoil", [lambda d: b"x" + d[1:], lambda d: d[:-1], lambda d: d[:4] + struct.pack("<i", 9) + d[8:], lambda d: d[:8] + struct.pack("<i", 0) + d[12:], lambda d: d[:9]])
-def test_unfit_binary_files_raise(spoil):
+def test_unfit_binary_files_raise(spoil, tmp_path):
+    (tmp_path / "rows.bin").write_bytes(spoil(binary(4)[0]))
     with pytest.raises(ValueError):
-        vectors.parse_binary(memoryview(spoil(binary(4)[0])), 3)
+        vectors.layout(str(tmp_path / "rows.bin"), 3)
+
+
+def large(version, sizes, dims=5):
+    """A file of random rows in clusters of the given sizes, and its rows by (cluster, pos)."""
+    random = np.random.default_rng(version)
+    n = sum(sizes)
+    values, labels = random.integers(-127, 128, (n, dims)).astype(np.int8), random.integers(0, 2, n).astype(np.int8)
+    head, tail = struct.pack("<8i", 0x52494E48, version, n, dims, len(sizes), 1, 0, 0), random.normal(size=(len(sizes), dims)).astype("<f4").tobytes() + np.array(sizes, "<i4").tobytes()
+    if version == 3:
+        order = random.permutation(n).astype("<i4")
+        return head + values.tobytes() + labels.tobytes() + tail + order.tobytes(), values[order], labels[order]
+    body, at = b"", 0
+    for size in sizes:
+        own, whole = values[at : at + size], size // 8 * 8
+        blocks = [own[i : i + 8].T.copy().tobytes() for i in range(0, whole, 8)] if version == 5 else [own[:whole].tobytes()]
+        body, at = body + b"".join(blocks) + own[whole:].tobytes(), at + size
+    return head + body + labels.tobytes() + tail, values, labels
+
+
+@pytest.mark.parametrize("version", [3, 4, 5])
+@pytest.mark.parametrize("each", [1, 10, 37, 10_000])
+def test_files_in_ranges(spark, tmp_path, version, each):
+    sizes = [0, 3, 41, 8, 0, 100, 1, 16, 7]
+    for name in ("a.bin", "b.bin"):
+        data, values, labels = large(version, sizes)
+        (tmp_path / name).write_bytes(data)
+    found = vectors.layout(str(tmp_path / "a.bin"), 5)
+    cuts = found.cuts(each)
+    assert [a for a, _ in cuts][1:] == [b for _, b in cuts][:-1] and cuts[0][0] == 0 and cuts[-1][1] == sum(sizes)
+    parts = [vectors.decode(found, a, b) for a, b in cuts]
+    joined = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    order = np.lexsort((joined["pos"], joined["cluster_id"]))
+    assert (joined["qvec"][order] == values).all() and (joined["label"][order] == labels).all()
+    assert joined["cluster_id"][order].tolist() == np.repeat(np.arange(len(sizes)), sizes).tolist()
+    if each == 37:
+        rows = spark.dataSource.register(vectors.VectorFiles) or spark.read.format("quantised_vectors").option("rows", each).load(str(tmp_path))
+        assert rows.rdd.getNumPartitions() == 2 * len(cuts) > 4
+        got = rows.orderBy("cluster_id", "pos").collect()
+        assert [r.qvec for r in got[::2]] == values.tolist() == [r.qvec for r in got[1::2]]
+
+
+def test_one_json_array_is_read_by_several_tasks(spark, tmp_path):
+    records = [{"vector": [i / 1000] * 3, "label": "fraud" if i % 3 else "legit"} for i in range(4000)]
+    text = json.dumps(records)
+    (tmp_path / "rows.json").write_text(text.replace('{"vector": [0.007', '{"vector": "x') + " \n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        found = vectors.json_records(spark, str(tmp_path / "rows.json"))
+        assert found.rdd.getNumPartitions() > 3
+        assert found.where("broken").count() == 1
+        got = sorted((round(r.vec[0] * 1000), r.label) for r in vectors.read_json(spark, str(tmp_path / "rows.json")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(i, int(i % 3 > 0)) for i in range(4000) if i != 7]
+
+
+@pytest.mark.parametrize(
+    ("change", "dim", "value"),
+    [
+        ({"transaction__requested_at": "2026-03-01T23:30:00-03:00"}, 3, 1.0),
+        ({"transaction__requested_at": "2026-03-01T23:30:00-03:00"}, 4, 1.0),
+        ({"transaction__installments": 3.7}, 1, 3 / 12),
+        ({"transaction__installments": -3}, 1, 0.0),
+        ({"customer__tx_count_24h": 99999999999}, 8, 1.0),
+        ({"last_transaction": {"timestamp": "2025-11-08T02:40:59+09:00", "km_from_current": 1.0}}, 5, 60 / 1440),
+    ],
+)
+def test_times_and_whole_numbers_are_read_as_they_stand(spark, change, dim, value):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            status, vec, _ = vector(spark, request(**change))
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
+        assert status == 200 and vec[dim] == pytest.approx(value, abs=1e-6)
+
+
+@pytest.mark.parametrize("at", ["2026-02-30T10:00:00Z", "2026-02-03T24:00:00Z", "2026-02-03 10:00", ""])
+def test_times_that_are_none_have_status_400(spark, at):
+    assert vector(spark, request(transaction__requested_at=at))[0] == 400
+
+
+def test_a_stream_that_fails_in_a_batch_loses_and_doubles_no_answer(spark, tmp_path, monkeypatch):
+    """The first batch fails after its answers are written; the second run writes them anew."""
+    from knnscore.streaming import scorer
+
+    built = small_index(spark)
+    rows = [(i, json.dumps(request() if i % 2 else ORDINARY)) for i in range(6)]
+    for at in (0, 3):
+        spark.createDataFrame(rows[at : at + 3], "query_id long, body string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("query_id long, body string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    real, calls = scorer.score, []
+
+    def failing(raw, index, **more):
+        calls.append(1)
+        answers = real(raw, index, **more)
+        if len(calls) == 1:
+            answers.write.mode("overwrite").parquet(f"{tmp_path}/out/batch=0")
+            raise RuntimeError("lost")
+        return answers
+
+    monkeypatch.setattr(scorer, "score", failing)
+    query = score_stream(stream(), built, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    with pytest.raises(Exception, match="lost"):
+        query.processAllAvailable()
+    query = score_stream(stream(), built, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    query.processAllAvailable()
+    query.stop()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r.query_id for r in got) == list(range(6)) and len(calls) == 3
+    assert all(json.loads(r.body)["approved"] == (r.query_id % 2 == 0) for r in got)
