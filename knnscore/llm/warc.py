@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._shared import new_path, stored
 
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_BYTES, READERS = 16 << 20, 20_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "uri string, n_records long, n_bytes long"
@@ -151,7 +151,7 @@ def parse_record(record: bytes) -> tuple:
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Rows of ``RECORD`` of every archive (uri); a damaged frame raises, a wrong digest gives digest_ok = false."""
+    """Rows of ``RECORD`` of every archive (uri); a damaged frame raises, a wrong digest gives digest_ok = false. A task an archive, up to ``READERS`` tasks, which then read several one after the other."""
     schema = RECORD if with_payload else RECORD.replace("payload binary, ", "")
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[x.split()[1]] for x in schema.split(", ")]
@@ -172,7 +172,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return archives.select("uri").repartition(max(1, archives.count())).mapInArrow(read, schema)
+    return archives.select("uri").repartition(max(1, min(archives.count(), READERS))).mapInArrow(read, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

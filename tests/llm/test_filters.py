@@ -260,3 +260,26 @@ def test_broken_markup_is_read_in_linear_time(mark):
         assert html_text.main_text("<p>start of text here " + mark * 30_000 + end)
     assert time.perf_counter() - start < 4
     assert html_text.main_text("<![foo]>hello <p>x") == "hello x" and html_text.main_text("a < b and c > d") == "a < b and c > d"
+
+
+def verdict(text):
+    """The bands restated: the whole text and each 4,096-byte chunk against the limits of their length."""
+    bands, data = quality_rules.Bands(), text.encode()
+    ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
+
+    def fits(x, table):
+        low, high = [(lo, hi) for least, lo, hi in table if len(x) >= least][-1]
+        return low <= ratio(x) <= high
+
+    chunks = [data[i : i + 4096] for i in range(0, len(data), 4096)]
+    bad = sum(len(c) for c in chunks if not fits(c, bands.chunk))
+    n_words, _, _, _, repeated = counts(text)
+    return n_words >= 50 and 100 * repeated <= 50 * n_words and fits(data, bands.document) and 2 * bad <= len(data)
+
+
+def test_kept_equals_a_restatement(spark):
+    noise = "".join(chr(33 + zlib.crc32(str(i).encode()) % 90) + " " * (i % 7 == 6) for i in range(9000))
+    texts = [prose(s, n) for s, n in enumerate((60, 120, 400, 900, 2000))] + [prose(9, 900) + noise[:n] for n in (500, 3000, 9000)]
+    texts += [prose(7, 300) + " ".join(f"item {i} of the list" for i in range(n)) for n in (20, 200, 900)] + ["ab " * 60, noise]
+    got = {r.doc_id: r.kept for r in quality_rules.rule(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: verdict(t) for i, t in enumerate(texts)} and len(set(got.values())) == 2
