@@ -170,7 +170,9 @@ def _add_version(spark: SparkSession, path: str, meta: dict, centroids: np.ndarr
     rows = [(i, c.tolist(), n, at, low, high) for i, (c, (n, low, high), at) in enumerate(zip(centroids, found, accumulate([0, *sizes]), strict=False))]
     spark.createDataFrame(rows, CLUSTER_ROWS).coalesce(1).write.parquet(f"{path}/{meta['statistics']}")
     _commit(spark, path, meta)
-    return _open(spark, path, meta)
+    index = _open(spark, path, meta)
+    index._held = Held(np.asarray(centroids, float), np.array(sizes), *(np.array([x[i] for x in found], float) for i in (1, 2)))
+    return index
 
 
 def _open(spark: SparkSession, path: str, meta: dict) -> Index:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..session import stored
+from ..session import stored as written
 from . import blocks
 from .index import Index
 from .meeting import meet
@@ -23,7 +23,7 @@ from .parts import SLACK, Part
 K = 5
 PART_ROWS = 16_384  # of a list or band that a task holds at once
 CHUNK = 256  # rows of similar first dimension that are skipped or compared together
-LISTS_BY_NAME = 2000  # most lists that a scan names, so that files of others aren't opened
+FEW_LISTS, LISTS_BY_NAME = 16, 2000  # most lists that a scan names, so that files of others aren't opened
 
 
 def exact(rows: DataFrame, queries: DataFrame, dims: int, k: int = K, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -126,7 +126,7 @@ def band_join(bands: Bands, queries: DataFrame, k: int = K, compared: Accumulato
     """
     if not len(bands.number):
         return blocks.ranked(bands.rows.join(queries.select("query_id").limit(0), F.lit(True)).withColumn("dist", F.lit(0.0)), k).select("query_id", "rank", "id", "dist")
-    asked = stored(one_an_id(queries).withColumn("limit", F.lit(None).cast("double")), "band-queries")
+    asked = written(one_an_id(queries).withColumn("limit", F.lit(None).cast("double")), "band-queries")
     held = bands.rows.select("band", "id", "vec")
 
     def near(visits: DataFrame) -> DataFrame:
@@ -134,9 +134,9 @@ def band_join(bands: Bands, queries: DataFrame, k: int = K, compared: Accumulato
         rows = held.where(F.col("band").isin(named)) if len(named) <= LISTS_BY_NAME else held
         return meet_parts(rows, visits, ("band",), k, compared)
 
-    first = stored(near(_bands_to_visit(bands, asked, True)), "home-bands")
+    first = written(near(_bands_to_visit(bands, asked, True)), "home-bands")
     known = asked.select("query_id", "vec").alias("q").join(_radius(first, k).alias("r"), F.expr("q.query_id <=> r.query_id"), "left").select("q.query_id", "q.vec", "r.limit")
-    rest = stored(_bands_to_visit(bands, known, False), "band-visits")
+    rest = written(_bands_to_visit(bands, known, False), "band-visits")
     return blocks.ranked(first.unionByName(near(rest)), k).select("query_id", "rank", "id", "dist")
 
 
@@ -240,7 +240,9 @@ def inverted_file(index: Index, queries: DataFrame, nprobe: int, k: int = K) ->
 
 
 def lists_named(index: Index, asked: DataFrame) -> DataFrame:
-    """The lists that asked (cluster_id) names: a filter on the folders, so that files of others aren't opened. At most a number a list comes to the driver."""
+    """The lists that asked (cluster_id) names: a filter on the folders, so that files of others aren't opened. At most a number a list comes to the driver; of few lists all are read."""
+    if index.n_clusters <= FEW_LISTS:
+        return index.lists
     named = [r[0] for r in asked.select("cluster_id").distinct().collect()]
     return index.lists.where(F.col("cluster_id").isin(named)) if len(named) < min(index.n_clusters, LISTS_BY_NAME + 1) else index.lists
 
@@ -274,8 +276,10 @@ def pruned_file(index: Index, queries: DataFrame, nprobe: int | None = None, k:
     """As ``inverted_file``, in two phases; nprobe None: all lists, which loses no neighbour. order: of equal distances.
 
     The nearest list gives each query k rows and with them a radius. Of the other probed lists only those are read whose stored box is within
-    the radius. Both phases' requests and the first one's rows are written to the shared folder, so nothing is computed again.
+    the radius. Both phases' requests and the first one's rows are written to the shared folder, so nothing is computed again; an index of few lists,
+    of which no files are passed over, does with one plan.
     """
+    stored = written if index.n_clusters > FEW_LISTS else lambda df, name: df
     probes = stored(_probed(index, queries, index.n_clusters if nprobe is None else nprobe), "probes")
     first = probes.select("query_id", "vec", F.inline(F.slice("probes", 1, 1)), F.lit(None).cast("double").alias("limit"))
     near = stored(_scan(index, lists_named(index, first), first, k, compared), "nearest")
