@@ -9,7 +9,9 @@ containment of the shingles' words. Documents are scanned in place: no shuffle.
 Items are sent to the tasks in blocks of at most ``BLOCK_CHARS`` characters; more items mean more passes.
 
 Defined results: items under five words are one shingle of all their words; items and documents without words
-match nothing; null ids are kept; repeated rows give repeated results; other columns are ignored.
+match nothing; null ids are kept; repeated rows give repeated results; items of equal text each match; a very long
+text is one set of shingles in its task, in memory proportional to its length; empty tables give no row; other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ The sample: at most ``SAMPLE_ROWS`` labelled rows in the order of a hash of thei
 Defined results: null and empty texts have statistics 0 and are scored; with no labelled row the score is 0.5,
 with labels of one class only it is that class; documents labelled twice count once with their lower label;
 null labels and null ids aren't learnt from, and null ids aren't held out; repeated rows get equal scores, and ties
-of a score at 0.5 predict 1; an empty table gives no row; other columns are ignored.
+of a score at 0.5 predict 1; a very long text is scored whole by built-in functions, in memory proportional to its
+length; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ one; both depend on length, so the limits do. Each fixed chunk is held against t
 and a text falls when more than ``bad_chunks`` of its bytes lie in chunks outside them.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows give repeated
-results; a long text is read whole, chunk by chunk; other columns are ignored.
+results; a ratio at a limit is inside, and a share of bad chunks at its limit is kept; a long text is read whole, chunk
+by chunk; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -262,6 +262,15 @@ def test_broken_markup_is_read_in_linear_time(mark):
     assert html_text.main_text("<![foo]>hello <p>x") == "hello x" and html_text.main_text("a < b and c > d") == "a < b and c > d"
 
 
+def test_empty_tables_give_no_row(spark):
+    none = frame(spark, [])
+    assert quality_rules.rule(none).collect() == [] and quality_rules.keep(none).collect() == []
+    items = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
+    assert decontamination.find_leaks(none, items).collect() == [] and decontamination.find_leaks(frame(spark, [(1, prose(1, 30))]), items.limit(0)).collect() == []
+    twice = items.union(spark.createDataFrame([(2, prose(1, 30))], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, [(1, prose(2, 40_000) + " " + prose(1, 30))]), twice).collect()) == [(1, 1), (1, 2)]
+
+
 def verdict(text):
     """The bands restated: the whole text and each 4,096-byte chunk against the limits of their length."""
     bands, data = quality_rules.Bands(), text.encode()
