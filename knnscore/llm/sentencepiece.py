@@ -31,7 +31,7 @@ from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: kinds of pieces in model files
 UNIGRAM, BPE = 1, 2
 KEPT_WORDS, KEPT_PAIRS, LONG, WINDOW = 500_000, 500_000, 64, 50_000
+IN_STEP, SLOT_BITS = 200_000, 20  # characters of words that go in step; a table of 2^20 pairs
 INFINITY = float("inf")
 END = (-INFINITY, "", "")
 BREAK = 0x110000  # stands after each word; no character has this number
@@ -117,23 +118,25 @@ class Transducer:
         self.texts = [t.replace(MARK, " ") for t in self.texts]
         self.score = {t: s for t, s, k in zip(self.texts, self.scores, self.kinds, strict=True) if k == NORMAL}
         self.sizes = [len(t) for t in self.texts]
+        self.piece_size = np.array(self.sizes or [0])
         self.first_character = len(self.texts)  # labels from here on are characters that no piece covers
         self.start = self.first_character + BREAK  # the label before a word
         self.compile_normaliser()
         self.compile_pieces()
         self.derived: dict[int, tuple | None] = {}
         self.pairs: dict[int, float] = {}
+        self.slot_key, self.slot_fits = np.full(1 << SLOT_BITS, -1), np.zeros(1 << SLOT_BITS, bool)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def compile_normaliser(self) -> None:
-        """Arcs by [state, is a space]: how many marks they write first, and whether they copy the byte. States: nothing written yet, after other bytes, after a space."""
+        """Arcs by 2 x state + is a space: how many marks they write first, and whether they copy the byte. States: nothing written yet, after other bytes, after a space."""
         prefix = int(self.prefix)
         if self.squeeze:  # a run of spaces writes one mark, before what follows it
-            self.marks = np.array([[prefix, 0], [0, 0], [1, 0]])
-            self.copies = np.array([[1, 0], [1, 0], [1, 0]])
+            self.marks = np.array([prefix, 0, 0, 0, 1, 0], np.int8)
+            self.copies = np.array([1, 0, 1, 0, 1, 0], np.int8)
         else:
-            self.marks = np.array([[prefix, prefix], [0, 0], [0, 0]])
-            self.copies = np.ones((3, 2), np.int64)
+            self.marks = np.array([prefix, prefix, 0, 0, 0, 0], np.int8)
+            self.copies = np.ones(6, np.int8)
 
     def compile_pieces(self) -> None:
         """The trie as sorted keys (state x symbols + symbol), where each arc leads, and the piece and weight of each state and label."""
@@ -160,12 +163,12 @@ class Transducer:
         """Texts without nulls composed with the normaliser; marks are written as spaces."""
         data, bounds = bytes_of(texts)
         space = data == SPACE
-        begins = np.repeat(bounds[:-1], np.diff(bounds))
-        moves = ~space if self.squeeze else np.ones(len(data), bool)
-        moved = np.r_[0, np.cumsum(moves)]
-        state = np.where(moved[:-1] == moved[begins], 0, 1 + np.r_[False, space[:-1]])
-        marks, copies = self.marks[state, space.astype(np.int64)], self.copies[state, space.astype(np.int64)]
-        ends = np.r_[0, np.cumsum(marks + copies)]
+        moved = np.r_[0, np.cumsum(~space)] if self.squeeze else np.arange(len(data) + 1)
+        state = 1 + np.r_[False, space[:-1]].astype(np.int8) if len(data) else np.zeros(0, np.int8)
+        state[moved[:-1] == np.repeat(moved[bounds[:-1]], np.diff(bounds))] = 0
+        arc = 2 * state + space
+        marks, copies = self.marks[arc], self.copies[arc]
+        ends = np.r_[0, np.cumsum(marks + copies, dtype=np.int64)]
         written = np.full(ends[-1], SPACE, np.uint8)
         copied = copies > 0
         written[ends[1:][copied] - 1] = data[copied]
@@ -240,22 +243,103 @@ class Transducer:
         order = order[np.searchsorted(ends[order], begin, "right") :]
         return begins[order], ends[order], labels[order], weights[order]
 
-    def shortest_paths(self, words: list[str]) -> Iterator[list[int]]:
-        """The labels along each word's path of least weight. Words stand one after the other, a break behind each, which no arc crosses."""
+    def shortest_paths(self, words: list[str]) -> list[list[int]]:
+        """The labels along each word's path of least weight. Words up to ``LONG`` characters go in step, a longer one by itself."""
+        paths: list[list[int]] = [[]] * len(words)
+        short: list[int] = []
+        held = 0
+        for i, word in enumerate(words):
+            if len(word) > LONG:
+                paths[i] = self.path_of(word)
+                continue
+            short.append(i)
+            held += len(word) + 1
+            if held >= IN_STEP:
+                self.paths_in_step(words, short, paths)
+                short, held = [], 0
+        if short:
+            self.paths_in_step(words, short, paths)
+        return paths
+
+    def coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Characters and symbols of words one after the other, a break behind each, which no arc crosses, and where the breaks are."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         breaks = np.cumsum(sizes + 1) - 1
         codes = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
         codes[breaks] = BREAK
         symbols = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
-        symbols = np.where(self.alphabet[symbols] == codes, symbols + 1, 0)
+        return codes, np.where(self.alphabet[symbols] == codes, symbols + 1, 0), breaks
+
+    def paths_in_step(self, words: list[str], chosen: list[int], paths: list[list[int]]) -> None:
+        """Fills in the paths of the chosen words: (min, +) over the arcs of all of them that end at the same distance from their word's beginning, distance by distance."""
+        codes, symbols, breaks = self.coded([words[i] for i in chosen])
+        starts = np.r_[0, breaks[:-1] + 1]
+        first = np.repeat(starts, breaks + 1 - starts)
+        begins, ends, labels, weights = self.lattice(codes, symbols, -1, len(codes) - 1)
+        depth = ends - first[begins]
+        order = np.argsort((depth * len(codes) + ends) * (self.longest + 1) + self.longest - (ends - begins))
+        begins, ends, labels, weights, depth = (x[order] for x in (begins, ends, labels, weights, depth))
         least, last = np.full(len(codes), INFINITY), np.full(len(codes), self.start)
-        least[breaks - sizes] = 0
+        least[starts] = 0
+        bounds = np.flatnonzero(np.diff(depth, prepend=0, append=depth[-1] + 1 if len(depth) else 1)).tolist()
+        for low, high in pairwise(bounds):
+            start, end, label = begins[low:high], ends[low:high], labels[low:high]
+            total = least[start] + (self.side_by_side_all(last[start], label) if self.type == BPE else weights[low:high])
+            group = np.flatnonzero(np.diff(end, prepend=-1))
+            lowest = np.minimum.reduceat(total, group)
+            at_least = np.flatnonzero(total == np.repeat(lowest, np.diff(group, append=len(end))))
+            won = at_least[np.flatnonzero(np.diff(end[at_least], prepend=-1))]  # of equals the one that begins first
+            won = won[total[won] < INFINITY]
+            least[end[won]] = total[won]
+            last[end[won]] = label[won]
+        word, at, backwards, owners = np.arange(len(chosen)), breaks, [], []
+        while True:
+            inside = at > starts[word]
+            word, at = word[inside], at[inside]
+            if not len(word):
+                break
+            label = last[at]
+            backwards.append(label)
+            owners.append(word)
+            at = at - np.where(label < self.first_character, self.piece_size[np.minimum(label, self.first_character - 1)], 1)
+        if not owners:
+            return
+        owner = np.concatenate(owners)[::-1]
+        order = np.argsort(owner, kind="stable")
+        labels, cuts = np.concatenate(backwards)[::-1][order], np.searchsorted(owner[order], np.arange(len(chosen) + 1)).tolist()
+        flat = labels.tolist()
+        for i, (a, b) in zip(chosen, pairwise(cuts), strict=True):
+            paths[i] = flat[a:b]
+
+    def side_by_side_all(self, before: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """``side_by_side`` of many arcs: from the table of a slot for each key's hash where the slot holds the pair, which it does afterwards."""
+        keys = before * (self.start + 1) + labels
+        slots = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        weights = np.where(self.slot_fits[slots], 0.0, INFINITY)
+        missing = np.flatnonzero(self.slot_key[slots] != keys)
+        if len(missing):
+            different, of = np.unique(keys[missing], return_inverse=True)
+            found = np.empty(len(different))
+            for i, key in enumerate(different.tolist()):
+                weight = self.pairs.get(key)
+                found[i] = self.side_by_side(*divmod(key, self.start + 1)) if weight is None else weight
+            weights[missing] = found[of]
+            slot, chosen = np.unique(slots[missing], return_index=True)  # of several pairs of a slot one is kept
+            self.slot_key[slot] = keys[missing[chosen]]
+            self.slot_fits[slot] = weights[missing[chosen]] == 0
+        return weights
+
+    def path_of(self, word: str) -> list[int]:
+        """The labels along the path of least weight of one word of any length, in windows."""
+        codes, symbols, breaks = self.coded([word])
+        least, last = np.full(len(codes), INFINITY), np.full(len(codes), self.start)
+        least[0] = 0
         weight, label_of = array("d", least.tobytes()), array("q", last.astype(np.int64).tobytes())
-        pairwise, pairs, n_labels = self.type == BPE, self.pairs, self.start + 1
+        by_pair, pairs, n_labels = self.type == BPE, self.pairs, self.start + 1
         for begin in range(0, len(codes), WINDOW):
             arcs = self.lattice(codes, symbols, begin - 1, min(begin + WINDOW, len(codes)) - 1)
             for start, end, label, more in zip(*[x.tolist() for x in arcs], strict=True):
-                if pairwise:
+                if by_pair:
                     if weight[end] == 0:  # no path weighs less
                         continue
                     before = label_of[start]
@@ -267,14 +351,13 @@ class Transducer:
                     weight[end] = total
                     label_of[end] = label
         lengths, first_character = self.sizes, self.first_character
-        for start, end in zip((breaks - sizes).tolist(), breaks.tolist(), strict=True):
-            path = []
-            while end > start:
-                label = label_of[end]
-                path.append(label)
-                end -= lengths[label] if label < first_character else 1
-            path.reverse()
-            yield path
+        path, end = [], int(breaks[0])
+        while end > 0:
+            label = label_of[end]
+            path.append(label)
+            end -= lengths[label] if label < first_character else 1
+        path.reverse()
+        return path
 
     def emit(self, path: list[int]) -> tuple[int, ...]:
         """The output labels of a path: pieces, the bytes of other characters, or one unknown piece for a run of them."""
