@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,9 +37,14 @@ def over(x: Column, limit: float) -> Column:
     return real(real(x) / real(limit))
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x taken once a row, however often use names it: inside a condition Spark takes a repeated expression again each time."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def clamp(x: Column) -> Column:
     """x between 0 and 1; NaN passes."""
-    return F.when(x < 0, real(0.0)).when((x > 1) & ~F.isnan(x), real(1.0)).otherwise(x)
+    return once(x, lambda v: F.when(v < 0, real(0.0)).when((v > 1) & ~F.isnan(v), real(1.0)).otherwise(v))
 
 
 def hour_of(text: Column) -> Column:
@@ -46,24 +52,19 @@ def hour_of(text: Column) -> Column:
     return F.regexp_extract(text, CLOCK, 2).try_cast("int")
 
 
-def minute_of(text: Column) -> Column:
-    return F.regexp_extract(text, CLOCK, 3).try_cast("int")
-
-
-def day_of(text: Column) -> Column:
-    """The date as it stands; null where there is none."""
-    return F.regexp_extract(text, CLOCK, 1).try_cast("date")
-
-
 def weekday_of(text: Column) -> Column:
-    """Monday 0 to Sunday 6 of the date as it stands."""
-    return F.weekday(day_of(text))
+    """Monday 0 to Sunday 6 of the date as it stands; null where there is none."""
+    return F.weekday(F.regexp_extract(text, CLOCK, 1).try_cast("date"))
 
 
 def clock_minutes(text: Column) -> Column:
     """Whole minutes since 1970 of date and time as they stand; null where they are none."""
-    at = F.when((hour_of(text) < 24) & (minute_of(text) < 60), hour_of(text) * 60 + minute_of(text))
-    return (F.unix_date(day_of(text)).cast("long") * 1440 + at).cast("long")
+
+    def minutes(read: Column) -> Column:
+        day, hour, minute = F.substring(read, 1, 10).try_cast("date"), F.substring(read, 12, 2).try_cast("int"), F.substring(read, 15, 2).try_cast("int")
+        return (F.unix_date(day).cast("long") * 1440 + F.when((hour < 24) & (minute < 60), hour * 60 + minute)).cast("long")
+
+    return once(F.regexp_extract(text, CLOCK, 0), minutes)
 
 
 def epoch_minutes(ts: Column) -> Column:
@@ -78,8 +79,9 @@ def minutes_between(later: Column, earlier: Column) -> Column:
 
 def leading_int(text: Column) -> Column:
     """The digits that a number's text begins with, 0 where it begins otherwise (3.7 gives 3, -3 gives 0); saturates."""
-    digits = F.regexp_extract(text, "^[0-9]+", 0)
-    return F.when(text.isNotNull(), F.when(digits == "", 0).otherwise(F.least(F.coalesce(digits.try_cast("long"), F.lit(2**31 - 1)), F.lit(2**31 - 1)).cast("int")))
+    most = F.lit(2**31 - 1)
+    number = once(F.regexp_extract(text, "^[0-9]+", 0), lambda digits: F.when(digits == "", 0).otherwise(F.least(F.coalesce(digits.try_cast("long"), most), most)).cast("int"))
+    return F.when(text.isNotNull(), number)
 
 
 def mcc_risk(mcc: Column) -> Column:
