@@ -4,7 +4,8 @@ Compiled once from the model file into arrays: the normaliser (what each state w
 bytes), the trie of the pieces (one arc for each state and symbol, a state's piece as its output), and byte fallback,
 arcs over one character that no piece covers, whose output is its byte pieces. A batch of words is composed with them
 at once: from every position the trie is walked along the text, which gives a lattice of arcs (begin, end, piece).
-Shortest paths come from one pass over the lattice in the order of ends, in the tropical (min, +) semiring.
+Shortest paths come from one pass over the lattice in the tropical (min, +) semiring: the words of a batch go in step,
+by the distance of an arc's end from its word's beginning; words of more than ``LONG`` characters go one by one.
 
 Unigram models weigh an arc by minus its piece's score. Byte-pair models have no additive weights; there the
 state also remembers the last piece, and an arc weighs 0 if the two pieces may stand side by side, infinity
