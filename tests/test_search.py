@@ -420,3 +420,47 @@ def test_versions_of_an_index(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="no committed index"):
         index.load(spark, f"{tmp_path}/nowhere")
     assert json.loads(open(f"{path}/meta/v-000000002.json").read())["count"] == 120
+
+
+@pytest.mark.parametrize("way", ["all lists", "four lists"])
+def test_large_lists_compare_no_more_pairs_a_query_as_rows_grow(spark, tmp_path, monkeypatch, way):
+    """Lists and bands beyond what a task holds go in cells: with eight times the rows a query is compared with about as many as before; results are those of brute force, copies and ties included."""
+    for name, value in (("PART_ROWS", 256),):
+        monkeypatch.setattr(search, name, value)
+    monkeypatch.setattr(search.cells, "CELL_ROWS", 128)
+    quantised = lambda df: df.withColumn("vec", S.quantise_vector("vec"))
+    each = []
+    for n in (2000, 16000):
+        x = skewed(n)
+        x[: n // 8] = x[0]  # copies: more than a task holds
+        frame = rows(spark, np.round(x, 2).tolist()).repartition(4)
+        asked, compared = ask(spark, *np.round(x[:: n // 100], 2).tolist()), spark.sparkContext.accumulator(0)
+        if way == "bands":
+            search.save_bands(quantised(frame), f"{tmp_path}/{n}", 128)
+            bands = search.load_bands(spark, f"{tmp_path}/{n}", quantised(frame).schema)
+            got = in_order(search.band_join(bands, quantised(asked), compared=compared))
+        else:
+            built = index.build(frame, x[n // 2 : n // 2 + 8].copy(), 4)
+            assert search._has_cells(built)
+            probed = search.pruned_file(built, asked, order=("id",), compared=compared) if way == "all lists" else search.inverted_file(built, asked, 4, compared=compared)
+            got = in_order(probed)
+        each.append(compared.value / asked.count())
+        if way == "four lists":
+            probes = search.probe(asked, built, 4)
+            far = quantised(asked).join(probes, "query_id").join(built.lists, "cluster_id").select("query_id", "probe_rank", "id", F.aggregate(F.zip_with("vec", "qvec", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v).alias("dist"))
+            assert got == in_order(search.blocks.ranked(far, 5, ("probe_rank", "id")))
+        else:
+            assert got == in_order(search.exact(quantised(frame), quantised(asked), 14))
+    assert each[1] < 2 * each[0], each
+
+
+def test_cells_of_few_null_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(search, "PART_ROWS", 3)
+    monkeypatch.setattr(search.cells, "CELL_ROWS", 1)
+    held = spark.createDataFrame([(None, [0.5] * 3, 1), (4, None, 1), *((i, [0.5] * 3, 0) for i in range(9, 2, -1)), (1, [0.1, 0.2, 0.3], 0)], ROWS)
+    built = index.build(held, np.array([[0.5] * 3, [9.0] * 3]), 2)  # the second list is empty
+    asked = ask(spark, [0.5] * 3, [0.1, 0.2, 0.3], [-1.0] * 3)
+    quantised = lambda df: df.withColumn("vec", S.quantise_vector("vec"))
+    assert search._has_cells(built)
+    truth = in_order(search.exact(quantised(held), quantised(asked), 3))
+    assert in_order(search.pruned_file(built, asked, order=("id",))) == truth and in_order(search.inverted_file(built, asked, 2)) == truth
