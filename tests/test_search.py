@@ -422,10 +422,10 @@ def test_versions_of_an_index(spark, tmp_path, monkeypatch):
     assert json.loads(open(f"{path}/meta/v-000000002.json").read())["count"] == 120
 
 
-@pytest.mark.parametrize("way", ["all lists", "four lists"])
+@pytest.mark.parametrize("way", ["all lists", "four lists", "bands"])
 def test_large_lists_compare_no_more_pairs_a_query_as_rows_grow(spark, tmp_path, monkeypatch, way):
     """Lists and bands beyond what a task holds go in cells: with eight times the rows a query is compared with about as many as before; results are those of brute force, copies and ties included."""
-    for name, value in (("PART_ROWS", 256),):
+    for name, value in (("PART_ROWS", 256), ("FEW_BANDS", 4)):
         monkeypatch.setattr(search, name, value)
     monkeypatch.setattr(search.cells, "CELL_ROWS", 128)
     quantised = lambda df: df.withColumn("vec", S.quantise_vector("vec"))
