@@ -44,6 +44,7 @@ SLOTS = BANDS * ROWS
 COUNTER_BITS = 20  # counters that order shingles by rarity
 DRAWS = 1, 8  # documents of a shingle and component in each round before all that are left are compared; they change the work and not the result
 TOKENS_AT_ONCE = 1_000_000
+MARKS = 4  # 64-bit words of a set's parity bits
 SIGNED = "doc_id long, digest binary, bands array<long>"
 
 
@@ -215,8 +216,14 @@ def token_counts(held: DataFrame) -> np.ndarray:
     return counts
 
 
+def parities(tokens: np.ndarray, owner: np.ndarray, n_sets: int) -> np.ndarray:
+    """``MARKS`` words for each set, each bit the parity of the tokens that fall on it: two sets differ in no more bits than in tokens."""
+    bits = np.bincount(owner * (64 * MARKS) + (mix(tokens.view(np.uint64)) >> np.uint64(1)).astype(np.int64) % (64 * MARKS), minlength=n_sets * 64 * MARKS) & 1
+    return np.packbits(bits.reshape(n_sets, -1).astype(np.uint8), axis=1).view(np.int64)
+
+
 def prefixes(held: DataFrame, threshold: float) -> DataFrame:
-    """token, rep, size, place: the first floor((1 - threshold) * size) + 1 tokens of each set, rarest first, without those that no other set has. held: rep, tokens."""
+    """token, rep, size, place, marks (parities of the whole set): the first floor((1 - threshold) * size) + 1 tokens of each set, rarest first, without those that no other set has. held: rep, tokens."""
     sent = held.sparkSession.sparkContext.broadcast(token_counts(held))  # a number for each counter, however many sets there are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,15 +232,16 @@ def prefixes(held: DataFrame, threshold: float) -> DataFrame:
             tokens, bounds = lists(batch.column("tokens"))
             sizes = np.diff(bounds)
             owner = np.repeat(np.arange(len(sizes)), sizes)
+            marks = pa.ListArray.from_arrays(pa.array(np.arange(0, MARKS * len(sizes) + 1, MARKS, dtype=np.int32)), pa.array(parities(tokens, owner, len(sizes)).reshape(-1)))
             n = counts[counter_of(tokens)]
             order = np.lexsort((tokens, n, owner))
             tokens, n = tokens[order], n[order]
             place, size = np.arange(len(tokens)) - bounds[owner], sizes[owner]
             keep = (n > 1) & (size - place >= threshold * size - 1e-6)
-            columns = [pa.array(tokens[keep]), batch.column("rep").take(pa.array(owner[keep])), pa.array(size[keep]), pa.array(place[keep])]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "rep", "size", "place"])
+            columns = [pa.array(tokens[keep]), batch.column("rep").take(pa.array(owner[keep])), pa.array(size[keep]), pa.array(place[keep]), marks.take(pa.array(owner[keep]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "rep", "size", "place", "marks"])
 
-    return held.select("rep", "tokens").mapInArrow(run, "token long, rep long, size long, place long")
+    return held.select("rep", "tokens").mapInArrow(run, "token long, rep long, size long, place long, marks array<long>")
 
 
 def still_mixed(rows: DataFrame) -> DataFrame:
@@ -243,24 +251,26 @@ def still_mixed(rows: DataFrame) -> DataFrame:
 
 
 def can_link(threshold: float) -> str:
-    """What follows the token is long enough in both sets (rows l and r) for the overlap; they are of different components."""
-    return f"l.component <> r.component AND least(l.size - l.place, r.size - r.place) * {1 + threshold} >= {threshold} * (l.size + r.size) - 1e-6D"
+    """What follows the token is long enough in both sets (rows l and r) for the overlap; their parities differ in no more bits than such sets do in tokens; they are of different components."""
+    differ = " + ".join(f"bit_count(l.marks[{i}] ^ r.marks[{i}])" for i in range(MARKS))
+    return f"({differ}) * {1 + threshold} <= {1 - threshold} * (l.size + r.size) + 1e-6D AND l.component <> r.component AND least(l.size - l.place, r.size - r.place) * {1 + threshold} >= {threshold} * (l.size + r.size) - 1e-6D"
 
 
 def chosen(shared: DataFrame, draws: int, threshold: float) -> DataFrame:
     """Of the rows (token, rep, size, place, component) of each token and component one a draw: if there is one, of those that can link to a set of equal size."""
     late = F.expr(f"(size - place) * {1 + threshold} < {2 * threshold} * size - 1e-6D")
-    drawn = [F.min_by(F.struct("rep", "size", "place"), F.struct(late, F.xxhash64("rep", "token", F.lit(k)), "rep")) for k in range(draws)]
+    drawn = [F.min_by(F.struct("rep", "size", "place", "marks"), F.struct(late, F.xxhash64("rep", "token", F.lit(k)), "rep")) for k in range(draws)]
     every = shared.groupBy("token", "component").agg(F.array_distinct(F.array(*drawn)).alias("all"))
-    return every.select("token", "component", F.inline("all")).select("token", "rep", "size", "place", "component")
+    return every.select("token", "component", F.inline("all")).select("token", "rep", "size", "place", "marks", "component")
 
 
 def prefix_pairs(shared: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of different components, among them each of similarity ``threshold`` or more. shared: token, rep, size, place, component.
+    """a, b: pairs of different components, among them each of similarity ``threshold`` or more. shared: token, rep, size, place, marks, component.
 
     Tokens have one order, rarest first. Sets of such similarity share threshold / (1 + threshold) of the sum of
     their sizes, so what follows the first shared token is as long in both, and that token is in both prefixes.
-    The order is free: counters that tokens share change the number of pairs and lose none.
+    The order is free: counters that tokens share change the number of pairs and lose none. Such sets differ in at most
+    (1 - threshold) / (1 + threshold) of the sum of their sizes, and parities in no more bits, which leaves out most others before they are made.
     """
     both = shared.alias("l").join(shared.alias("r"), F.expr(f"l.token = r.token AND l.rep > r.rep AND {can_link(threshold)}"))
     return both.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
@@ -292,7 +302,7 @@ def labels_of(docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame |
         if not good.isEmpty():
             labels = components(good if labels is None else labels.toDF("a", "b").union(good))
             known = labels.select("node", F.col("component").alias("now"))
-            shared = shared.join(known, shared.rep == known.node, "left").select("token", "rep", "size", "place", F.coalesce("now", "component").alias("component"))
+            shared = shared.join(known, shared.rep == known.node, "left").select("token", "rep", "size", "place", "marks", F.coalesce("now", "component").alias("component"))
     return labels
 
 

@@ -310,3 +310,17 @@ def test_repeated_rows_are_one_document(spark):
     many = [(i, f"{line}\n{prose(i, 60)}") for i in range(1, 11)]
     got = {r.doc_id: r.text for r in substring_dedup.deduplicate(frame(spark, many)).collect()}
     assert got == {i: t if i == 1 else t.split("\n", 1)[1] for i, t in many}
+
+
+def test_pairs_just_below_the_similarity_are_not_made(spark):
+    """Sets of one pool share rare tokens in all pairs; parities leave these out before the join makes them, and no link."""
+    draw = np.random.default_rng(5)
+    pool = draw.integers(-(2**62), 2**62, 250)
+    sets = [draw.choice(pool, 200, replace=False) for _ in range(60)]
+    sets += [np.r_[s[:190], draw.integers(-(2**62), 2**62, 10)] for s in sets[:10]]
+    held = spark.createDataFrame([(i, np.sort(s).tolist()) for i, s in enumerate(sets)], "rep long, tokens array<long>")
+    shared = near_dedup.prefixes(held, 0.8).withColumn("component", F.col("rep"))
+    got = {(r.a, r.b) for r in near_dedup.prefix_pairs(shared, 0.8).collect()}
+    links = {(i, j) for i in range(70) for j in range(i) if (n := len(set(sets[i].tolist()) & set(sets[j].tolist()))) / (400 - n) >= 0.8}
+    assert len(links) >= 10 and links <= got
+    assert len(got) < 0.1 * 70 * 69 / 2
