@@ -33,3 +33,13 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
     found = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stored(few(found.union(found.select("component", "component").distinct())), "components")
+
+
+def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of labels (node, component) once further links (a, b) join them: links of components alone are gone over, of nodes not in labels as their own."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+    found = components(named).toDF("was", "now")
+    moved = labels.join(found, labels.component == found.was, "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = found.join(labels, found.was == labels.node, "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return stored(moved.union(new), "components")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import dealt_by, lists, pieces, stored
-from .components import ROWS_A_TASK, components
+from .components import ROWS_A_TASK, components, joined_by
 from .shingles import FACTOR, WordHashes, by_text, mix, shingle_hashes
 
 SIZE, SIMILARITY = 5, 0.8
@@ -300,7 +300,7 @@ def labels_of(docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame |
         tried = tried.union(pairs)
         good = stored(verify(pairs, held, threshold), "links")
         if not good.isEmpty():
-            labels = components(good if labels is None else labels.toDF("a", "b").union(good))
+            labels = components(good) if labels is None else joined_by(labels, good)
             known = labels.select("node", F.col("component").alias("now"))
             shared = shared.join(known, shared.rep == known.node, "left").select("token", "rep", "size", "place", "marks", F.coalesce("now", "component").alias("component"))
     return labels

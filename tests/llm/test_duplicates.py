@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from helpers import awkward, bag, frame, prose, similarity
 from knnscore.llm import byte_dedup, near_dedup, substring_dedup
-from knnscore.llm.components import components
+from knnscore.llm.components import components, joined_by
 from knnscore.llm.suffix_array import suffix_array
 from pyspark.sql import functions as F
 
@@ -324,3 +324,10 @@ def test_pairs_just_below_the_similarity_are_not_made(spark):
     links = {(i, j) for i in range(70) for j in range(i) if (n := len(set(sets[i].tolist()) & set(sets[j].tolist()))) / (400 - n) >= 0.8}
     assert len(links) >= 10 and links <= got
     assert len(got) < 0.1 * 70 * 69 / 2
+
+
+def test_components_go_on_from_labels(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, component long")
+    links = spark.createDataFrame([(6, 2), (7, 9), (0, 7), (20, 21), (2, 1)], "a long, b long")
+    got = {(r.node, r.component) for r in joined_by(labels, links).collect()}
+    assert got == {(1, 1), (2, 1), (5, 1), (6, 1), (8, 0), (9, 0), (7, 0), (0, 0), (20, 20), (21, 20)}
