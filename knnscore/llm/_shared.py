@@ -20,9 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cuts each batch so that the texts of a piece hold about ``most_bytes``; a single longer text is a piece of its own."""
+    """Cuts each batch so that the texts of a piece hold about ``most_bytes``; a single longer text is a piece of its own. column: the texts, or their lengths."""
     for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = batch.column(column)
+        lengths = pc.fill_null(lengths if pa.types.is_integer(lengths.type) else pc.binary_length(lengths), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(lengths):
             if held and held + n > most_bytes:

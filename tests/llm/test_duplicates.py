@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from helpers import awkward, bag, frame, prose, similarity
-from knnscore.llm import byte_dedup, near_dedup, substring_dedup
+from knnscore.llm import byte_dedup, near_dedup, planes, substring_dedup
 from knnscore.llm.components import components, joined_by
 from knnscore.llm.suffix_array import suffix_array
 from pyspark.sql import functions as F
@@ -78,6 +78,52 @@ def test_repeated_strings_are_cut_as_by_brute_force(spark, monkeypatch, held, ho
     assert byte_dedup.cut(frame(spark, [])).count() == 0
 
 
+def test_columns_come_back_from_a_packed_value():
+    r = np.random.default_rng(1)
+    level = next(p for k in range(64, 400) for z in range(k) if len(planes.squeezed(p := r.bytes(k - z) + bytes(z))) == k)  # compressed as long as it was
+    for n in (1, planes.FEW - 1, planes.FEW, 5000, len(level)):
+        columns = [r.integers(0, 1 << 63, n, np.uint64), r.integers(0, 300, n).astype("<i4"), np.frombuffer(level, np.uint8)[:n] if n == len(level) else r.integers(0, 36, n).astype("u1")]
+        for rest in (b"", b"some " * 1000):
+            got, more = planes.unpack(planes.pack(columns, rest), [c.dtype for c in columns])
+            assert more == rest
+            for a, b in zip(columns, got, strict=True):
+                assert a.dtype == b.dtype
+                assert (a == b).all()
+    keys = np.sort(r.integers(0, 1 << 64, 900, np.uint64) // np.uint64(7) * np.uint64(7)) + np.uint64(3)
+    assert (byte_dedup.rises(byte_dedup.falls(keys, 7), int(keys[0] % np.uint64(7)), 7) == keys).all()
+
+
+def test_little_is_shuffled_for_repeated_strings(spark):
+    """A run costs under 24 bytes (33 where runs weren't packed), a string of a frequent passage under 25 (over 90), and texts are shuffled once (twice)."""
+    passage = prose(5, 200).replace("\n", " ")[:48]
+    r, words = random.Random(3), prose(6, 5000).split()
+    rows = [(k, " ".join([*r.choices(words, k=60), f"{passage}{k * 104729 % 1009:04}", *r.choices(words, k=60)])) for k in range(1500)]
+    docs = frame(spark, rows).coalesce(1).select("doc_id", "text").where("doc_id IS NOT NULL")
+    messages = byte_dedup.find_runs(docs, 4)
+    size = messages.selectExpr("sum(length(data))").first()[0]
+    texts = [t.encode() for _, t in rows]
+    runs = byte_dedup.runs(b"".join(texts), np.cumsum([0, *map(len, texts)]), np.arange(len(texts)))
+    assert size < 24 * len(runs)
+
+    unsettled = byte_dedup.by_document(byte_dedup.settle_buckets(messages, 4).where(F.col("kind") == byte_dedup.ASKED), 4)
+    hot = unsettled.where(f"exists(sides, x -> x & {byte_dedup.HOT_LEFT | byte_dedup.HOT_RIGHT} > 0)")
+    blobs = [x.data for x in byte_dedup.fetch(byte_dedup.packed_texts(docs), hot, 4).where(F.col("kind") == byte_dedup.OTHER).collect()]
+    n = np.concatenate([planes.unpack(x, byte_dedup.HALF)[0][3] for x in blobs]).astype(int)
+    assert (n == 1).sum() > byte_dedup.HOT
+    assert sum(map(len, blobs)) < 25 * n.sum()
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        done = byte_dedup.cut(docs)
+        done.collect()
+        plan = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    by_text = [line for line in plan.split("\n") if "Exchange hashpartitioning(doc_id" in line]
+    assert sum("ReusedExchange" not in line for line in by_text) == 1, by_text
+
+
 def brute_classes(rows, threshold=0.8):
     bags = {doc: bag(text) for doc, text in rows if doc is not None}
     parent = {d: d for d in bags}
